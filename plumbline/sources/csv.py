@@ -1,4 +1,4 @@
-"""CSV in: a distributed split where no quote occurs, the record scanner where one does."""
+"""CSV in: a distributed split of lines where no quote occurs, a distributed record scan where one does."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from plumbline.errors import parse_error
 from plumbline.functions.inference import rank, widest
 from plumbline.plans import ORD, Plan
 from plumbline.sources.files import Peek
-from plumbline.sources.scanner import Malformed, delimiter_byte, records, table
+from plumbline.sources.scanner import Malformed, delimiter_byte, ends_open, records, table
 from plumbline.types import ColumnType
 
 BOM = b"\xef\xbb\xbf"
@@ -26,7 +26,7 @@ def read(spark: SparkSession, path: str | os.PathLike[str], delimiter: str = ","
     mark = delimiter_byte(delimiter)
     peek = Peek(spark, path)
     source = os.fsdecode(os.fspath(path))
-    return _split(spark, peek, delimiter, source) or _scanned(spark, peek.uri, mark, source)
+    return _split(spark, peek, delimiter, source) or _scanned(spark, peek, mark, source)
 
 
 def _split(spark: SparkSession, peek: Peek, delimiter: str, source: str) -> Plan | None:
@@ -77,45 +77,136 @@ def _typed(cell, types: tuple[ColumnType, ...]) -> list[Column]:
     return [cell(i).cast(kind.spark).alias(f"c{i}") for i, kind in enumerate(types)]
 
 
-def _scan_batches(mark: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(row: int, cells: list, error: str | None = None) -> pa.RecordBatch:
-            n = len(cells)
-            return pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), pa.array(cells, pa.list_(pa.string())), pa.array([error] * n, pa.string())], names=[ORD, "cells", "error"])
+class _Split:
+    """Scanning one split of a file: it knows whether it starts inside a quoted field, and in which record."""
 
+    def __init__(self, mark: int, bom: bool, final: int | None):
+        self.mark, self.bom, self.final = mark, bom, final
+
+    def lines(self, batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+        for n, line in zip(batch.column(ORD).to_pylist(), batch.column("value").to_pylist(), strict=True):
+            yield n, BOM + line if self.bom and n == 0 else line
+
+    def summary(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(start of the split, and for either start: the record that is open at its end, -1 if none is, null if it
+        is the one that was open at its start)."""
+        now: list[tuple[bool, int | None]] = [(False, -1), (True, None)]
+        start = None
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                row, kept, size = 0, [], 0
-                try:
-                    for record in records(content, mark):
-                        cells = [c.decode() for c in record]
-                        kept.append(cells)
-                        size += sum(map(len, cells))
-                        if len(kept) >= 10_000 or size > 8 << 20:
-                            yield out(row, kept)
-                            row, kept, size = row + len(kept), [], 0
-                except Malformed as e:
-                    yield out(row + len(kept), [None], e.args[0])
-                except UnicodeDecodeError:
-                    yield out(row + len(kept), [None], "encoding")
-                yield out(row, kept)
-
-    return run
-
-
-def _scanned(spark: SparkSession, uri: str, mark: int, source: str) -> Plan:
-    """The strict path: the file as a whole in one task."""
-    found = spark.read.format("binaryFile").load(uri).select("content")
-    found = found.mapInArrow(_scan_batches(mark), f"{ORD} long, cells array<string>, error string")
-    first = found.where(f"{ORD} = 0").select("cells", "error").collect()
-    header = next((r.cells for r in first if r.error is None), None)
-    rows = found.where(F.col(ORD) > 0)
-    width = len(header or [])
+            if start is None and batch.num_rows:
+                start = batch.column("split")[0].as_py()
+            for n, line in self.lines(batch):
+                if b'"' in line:
+                    now = [(after, (-1 if not after else at if inside else n)) for inside, at in now for after in (ends_open(inside, line, self.mark),)]
+        if start is not None:
+            columns = [pa.array([start], pa.int64()), *(pa.array([at], pa.int64()) for _, at in now)]
+            yield pa.RecordBatch.from_arrays(columns, names=["split", "plain", "quoted"])
+
+    def records(self, opened: dict[int, int]):
+        """Rows of records that lie in one split, numbered by their first line, and the lines of those that don't, with
+        their record's number. opened: splits that start in a quoted field, and in which record."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            record, pending, whole, first = -1, [], True, True
+            for batch in batches:
+                if first and batch.num_rows:
+                    record = opened.get(batch.column("split")[0].as_py(), -1)
+                    whole, first = record < 0, False
+                out = _Rows()
+                for n, line in self.lines(batch):
+                    quote = b'"' in line
+                    if record < 0:
+                        if quote and ends_open(False, line, self.mark):
+                            record, pending = n, [(n, line)]
+                        else:
+                            self._parse(out, n, line, n)
+                        continue
+                    pending.append((n, line))
+                    if quote and not ends_open(True, line, self.mark):
+                        if whole:
+                            self._parse(out, record, b"\n".join(x for _, x in pending), n)
+                        else:
+                            out.pieces(record, pending)
+                        record, pending, whole = -1, [], True
+                if not whole:
+                    out.pieces(record, pending)
+                    pending = []
+                yield out.batch()
+            if pending:
+                out = _Rows()
+                out.pieces(record, pending)
+                yield out.batch()
+
+        return run
+
+    def joined(self, key: tuple, rows: pa.Table) -> pa.Table:
+        """A record from its lines, in order."""
+        rows = rows.sort_by("line")
+        out = _Rows()
+        self._parse(out, key[0].as_py(), b"\n".join(rows.column("piece").to_pylist()), rows.column("line")[-1].as_py())
+        return pa.Table.from_batches([out.batch()])
+
+    def _parse(self, out: _Rows, number: int, text: bytes, last: int) -> None:
+        """Adds the record in `text`, whose last line is number `last`; none if it is blank."""
+        try:
+            for record in records(text if last == self.final else text + b"\n", self.mark):
+                out.add(number, [c.decode() for c in record])
+        except Malformed as e:
+            out.add(number, None, e.args[0])
+        except UnicodeDecodeError:
+            out.add(number, None, "encoding")
+
+
+class _Rows:
+    """Rows to be: a record's cells, an error, or a line of a record that goes on elsewhere."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def add(self, number: int, cells: list[str] | None, error: str | None = None) -> None:
+        self.rows.append((number, cells, error, None, None))
+
+    def pieces(self, number: int, lines: list[tuple[int, bytes]]) -> None:
+        self.rows += [(number, None, None, n, line) for n, line in lines]
+
+    def batch(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[ORD, "cells", "error", "line", "piece"])
+
+
+_ROWS = f"{ORD} long, cells array<string>, error string, line long, piece binary"
+
+
+def _scanned(spark: SparkSession, peek: Peek, mark: int, source: str) -> Plan:
+    """The strict path. A first pass over the file's splits finds where quoted fields are open at their ends, one row a
+    split; then every split is scanned from the right state, and only records that cross splits are put together."""
+    lines = spark.read.text(peek.uri, lineSep="\n").select(F.col("value").cast("binary").alias("value"), F.monotonically_increasing_id().alias(ORD), F.col("_metadata.file_block_start").alias("split"))
+    final = lines.agg(F.max(ORD)).first()[0] if peek.last != b"\n" else None
+    split = _Split(mark, peek.first == BOM, final)
+    opened, at = {}, -1
+    for row in sorted(lines.mapInArrow(split.summary, "split long, plain long, quoted long").collect()):
+        if at >= 0:
+            opened[row.split] = at
+            at = at if row.quoted is None else row.quoted
+        else:
+            at = row.plain
+    found = lines.mapInArrow(split.records(opened), _ROWS)
+    if opened or at >= 0:
+        crossing = found.where("line IS NOT NULL").groupBy(ORD).applyInArrow(lambda key, rows: split.joined(key, rows), _ROWS)
+        found = found.where("line IS NULL").union(crossing)
+    found = found.select(ORD, "cells", "error")
+    first = found.orderBy(ORD).head()
+    if first is None:
+        raise parse_error("no_header", source)
+    width = len(first.cells or [])
+    rows = found.where(F.col(ORD) > first[ORD])
+    failed = F.when(F.col("error").isNotNull(), F.col(ORD))
     checks = found.agg(
-        F.min_by("error", F.when(F.col("error").isNotNull(), F.col(ORD))).alias("error"),
+        F.min_by("error", failed).alias("error"),
         F.coalesce(F.min(F.when((F.size("cells") != width) & F.col("error").isNull(), F.col(ORD))), F.lit(-1)).alias("ragged"),
-        F.coalesce(F.min(F.when(F.col("error").isNotNull(), F.col(ORD))), F.lit(-1)).alias("failed"),
-        *[F.coalesce(F.max(F.when(F.col(ORD) > 0, rank(F.get("cells", F.lit(i))))), F.lit(int(ColumnType.STRING))).alias(f"t{i}") for i in range(width)],
+        F.coalesce(F.min(failed), F.lit(-1)).alias("failed"),
+        *[F.coalesce(F.max(F.when(F.col(ORD) > first[ORD], rank(F.get("cells", F.lit(i))))), F.lit(int(ColumnType.STRING))).alias(f"t{i}") for i in range(width)],
     ).first()
     # whichever comes first in the file
     if checks["ragged"] >= 0 and (checks["failed"] < 0 or checks["ragged"] < checks["failed"]):
@@ -124,10 +215,8 @@ def _scanned(spark: SparkSession, uri: str, mark: int, source: str) -> Plan:
         raise UnicodeDecodeError("utf-8", b"", 0, 1, f"invalid bytes in {source}")
     if checks["error"]:
         raise parse_error(checks["error"], source)
-    if header is None:
-        raise parse_error("no_header", source)
     types = tuple(ColumnType(checks[f"t{i}"]) for i in range(width))
-    return Plan(rows.select(*_typed(lambda i: F.col("cells")[i], types), ORD), tuple(header), types)
+    return Plan(rows.select(*_typed(lambda i: F.col("cells")[i], types), ORD), tuple(first.cells), types)
 
 
 def parse(spark: SparkSession, text: str | bytes, delimiter: str = ",") -> Plan:

@@ -3,6 +3,9 @@
 A field is quoted only if its first byte is a quote. In quotes everything counts but the next single quote, two stand for
 one, and after the closing quote only a delimiter, a line end or the end of input may follow. A line end is LF or CRLF;
 a CR elsewhere in a plain field is data. Lines that are empty where a record would start are skipped.
+
+At the start of a line the scanner is either between records or inside a quoted field. So lines can be scanned
+apart: what a stretch of them does is where it ends for either start (`ends_open`).
 """
 
 from __future__ import annotations
@@ -80,6 +83,31 @@ def _field(data: bytes, at: int, n: int, delimiter: int) -> tuple[bytes, int, bo
     return data[at : end - 1 if end > at and data[end - 1] == CR else end], end + 1, False
 
 
+def ends_open(inside: bool, line: bytes, delimiter: int) -> bool:
+    """Whether a line (without its LF) that starts inside a quoted field, or not, ends inside one. Where it leaves the
+    grammar it counts as ended; `records` finds the error."""
+    at, n, split = 0, len(line), bytes([delimiter])
+    while True:
+        if not inside:
+            if line[at : at + 1] != b'"':
+                at = line.find(split, at) + 1
+                if not at:
+                    return False
+                continue
+            at += 1
+        close = line.find(b'"', at)
+        if close < 0:
+            return True
+        at = close + 1
+        inside = line[at : at + 1] == b'"'
+        if inside:
+            at += 1
+        elif at < n and line[at] == delimiter:
+            at += 1
+        else:
+            return False
+
+
 def table(data: bytes, delimiter: int) -> tuple[list[bytes], list[list[bytes]]]:
     """The header and the rows, all as wide as it. Raises Malformed."""
     found = records(data, delimiter)

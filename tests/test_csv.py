@@ -160,3 +160,29 @@ def test_from_dict(spark):
     for bad, error in [({"a": [None]}, TypeError), ({"a": [True]}, TypeError), ({"a": [1, "x"]}, TypeError), ({"a": [b"x"]}, TypeError), ({"a": [[1]]}, TypeError), ({"a": "xyz"}, TypeError), ({1: [1]}, TypeError), ({"a": [float("nan")]}, ValueError), ({"a": [1.0, float("inf")]}, ValueError), ({"a": [2**63]}, OverflowError), ({"a": [1], "b": [1, 2]}, ValueError)]:
         with pytest.raises(error):
             p.from_dict(bad)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_quoted_fields_across_splits(spark, tmp_path, seed):
+    """Records with line breaks that lie in one split, cross two, or cover several."""
+    rng = random.Random(seed)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000" if seed % 2 else "150")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        cells = [[str(i), "".join(rng.choice('ab,"\n\r é') for _ in range(rng.choice([3, 20, 60, 1500 if seed % 2 else 5])))] for i in range(25)]
+        f = p.from_dict({"i": [int(c[0]) for c in cells], "s": [c[1] for c in cells]})
+        text = f.to_csv()
+        got = p.read_csv(write(tmp_path, text))
+        assert got.to_dict() == f.to_dict() and got.dtypes == (INT, STRING)
+        assert p.read_csv(write(tmp_path, text.rstrip("\n"))).to_dict() == f.to_dict()
+        assert p.read_csv(write(tmp_path, "﻿" + text)).columns == ("﻿i", "s")
+        with pytest.raises(ParseError, match="never closed"):
+            p.read_csv(write(tmp_path, text + '99,"open\n' + "x\n" * 300))
+        with pytest.raises(ParseError, match="different field count"):
+            p.read_csv(write(tmp_path, text + "99\n" + '98,"x"y\n' + "1,x\n" * 90))
+        with pytest.raises(ParseError, match="after a closing"):
+            p.read_csv(write(tmp_path, text + '98,"x"y\n' + "99\n" + "1,x\n" * 90))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.sources.scanner import Malformed, delimiter_byte, records, table
+from plumbline.sources.scanner import Malformed, delimiter_byte, ends_open, records, table
 
 
 def slow(data: bytes, mark: int):
@@ -92,3 +92,21 @@ def test_delimiters():
             delimiter_byte(bad)
     with pytest.raises(TypeError):
         delimiter_byte(b",")
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.text(alphabet='a,"\r\n', max_size=24))
+def test_lines_scanned_apart(text):
+    """For input within the grammar, following `ends_open` line by line cuts it into the same records."""
+    data = text.encode()
+    want = outcome(lambda: slow(data, ord(",")))
+    inside, pending, got = False, b"", []
+    lines = data.split(b"\n")
+    for i, line in enumerate(lines):
+        inside = ends_open(inside, line, ord(","))
+        pending += line + (b"\n" if i + 1 < len(lines) else b"")
+        if not inside:
+            got.append(pending)
+            pending = b""
+    if isinstance(want, list):
+        assert not inside and [r for part in got for r in records(part, ord(","))] == want
