@@ -111,14 +111,17 @@ def _scan(phrases: Phrases):
                 phrase, place, length = phrases.occurrences(words)
                 hits, spans, items = [[] for _ in range(b - a)], [[] for _ in range(b - a)], [[] for _ in range(b - a)]
                 row = words.row[place]
-                # all occurrences lie within one row, and rows follow each other, so one merge serves the shard
-                for r in np.unique(row).tolist():
-                    mine = row == r
-                    first, last = merged(place[mine], length[mine])
+                # occurrences row by row
+                order = np.argsort(row, kind="stable")
+                row, phrase, place, length = row[order], phrase[order], place[order], length[order]
+                edges = np.concatenate(([0], np.flatnonzero(row[1:] != row[:-1]) + 1, [len(row)])) if len(row) else np.zeros(1, dtype=np.int64)
+                for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    r = int(row[lo])
+                    first, last = merged(place[lo:hi], length[lo:hi])
                     base, offset = words.word_at[r], words.at[r]
                     hits[r] = [{"first": int(i - base), "last": int(j - base)} for i, j in zip(first, last, strict=True)]
                     spans[r] = [{"first": int(words.start[i] - offset), "last": int(words.end[j - 1] - offset)} for i, j in zip(first, last, strict=True)]
-                    items[r] = sorted({x for p in np.unique(phrase[mine]).tolist() for x in phrases.items[p] if x is not None})
+                    items[r] = sorted({x for p in np.unique(phrase[lo:hi]).tolist() for x in phrases.items[p] if x is not None})
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), pa.array(words.per_row), pa.array(hits, _SPANS), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)],
                     names=["doc_id", "n_words", "hits", "items", "spans"],

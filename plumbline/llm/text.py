@@ -128,9 +128,14 @@ def partitions_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 
 
+#: Types of the internal names: narrower ids are widened.
+_KINDS = {"doc_id": "long", "page_id": "long", "vec_id": "long", "text": "string", "url": "string"}
+
+
 def columns(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     """Just the named columns, renamed to fixed internal names, so that no other column can clash."""
-    return df.select(*[F.col(f"`{name}`").alias(alias) for name, alias in pairs])
+    named = [(F.col(f"`{name}`"), alias) for name, alias in pairs]
+    return df.select(*[(c.cast(_KINDS[alias]) if alias in _KINDS else c).alias(alias) for c, alias in named])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

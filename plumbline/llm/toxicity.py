@@ -61,10 +61,10 @@ def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             codes, distinct = words.coded()
             pairs = np.unique(words.row * len(distinct) + codes) if len(codes) else codes
             row, word = pairs // max(len(distinct), 1), pairs % max(len(distinct), 1)
-            for r in np.unique(row).tolist():
-                y = label[a + r]
-                for t in {t for w in word[row == r].tolist() for t in terms_of(distinct[w])}:
-                    count.setdefault(t, [0, 0])[y] += 1
+            edges = np.searchsorted(row, np.arange(b - a + 1))
+            for r, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                for t in {t for w in word[lo:hi].tolist() for t in terms_of(distinct[w])}:
+                    count.setdefault(t, [0, 0])[label[a + r]] += 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(count), pa.binary()), pa.array([n[1] for n in count.values()], pa.int64()), pa.array([n[0] for n in count.values()], pa.int64())], names=["term", "toxic", "clean"]
         )
