@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that it can express: the same rows from plain definitions."""
 
+import re
+
+from plumbline.llm.licenses import PHRASES, TEMPLATES
+
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -31,4 +35,31 @@ SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c
 FROM embeddings e JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id
 """
 
-ORACLES = {"op4_decontamination": OP4, "op8_embedding_dedup": OP8}
+
+
+def _pattern(template: str) -> str:
+    """A template as a regular expression over words that each have a space after them."""
+    parts = re.findall(r"\[\[|\]\]|\{\d+-\d+\}|[^\s\[\]{}]+", template)
+    return " " + "".join("(" if p == "[[" else ")?" if p == "]]" else f"([^ ]+ ){{{p[1:-1].replace('-', ',')}}}" if p[0] == "{" else f"{p} " for p in parts)
+
+
+def _license_sql() -> str:
+    words = ", ".join(f"list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()!r}) AS b{k}" for k, (p, _) in enumerate(PHRASES))
+    places = " || ".join(f"b{k}" for k in range(len(PHRASES)))
+    base = ", ".join(f"CASE WHEN len(b{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(PHRASES))
+    more = ", ".join(f"CASE WHEN regexp_matches(joined, '{_pattern(t)}') THEN '{label}' END" for label, t in TEMPLATES)
+    joined = lambda labels: f"array_to_string(list_sort(list_distinct(list_filter({labels}, lambda x: x IS NOT NULL))), ',')"
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORDS}') AS w FROM documents),
+p AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS joined, {words} FROM d),
+l AS (SELECT doc_id, w, {places} AS places, [{base}] AS base, [{more}] AS more FROM p)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+       {joined("base")} AS base_labels, {joined("base || more")} AS labels,
+       CAST(CASE WHEN len(list_filter(more, lambda x: x IS NOT NULL)) > 0 THEN 1.0 WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
+FROM l
+"""
+
+
+OP9 = _license_sql()
+
+ORACLES = {"op9_licenses": OP9, "op4_decontamination": OP4, "op8_embedding_dedup": OP8}

@@ -101,15 +101,16 @@ def crc_of_id(ids: pa.Array) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the one set on the context, else a
-    temporary one, which only a local session (tests) comes to."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the one set on the context; with neither,
+    a temporary one in a local session (tests), and a folder of the warehouse on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not path:
         found = context._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
-        path = tempfile.mkdtemp(prefix="plumbline-")
+        local = context.master.split("[")[0] == "local"
+        path = tempfile.mkdtemp(prefix="plumbline-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/plumbline"
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(path)
     return path
