@@ -30,15 +30,12 @@ def read(spark: SparkSession, path: str | os.PathLike[str], delimiter: str = ","
 
 
 def _split(spark: SparkSession, peek: Peek, delimiter: str, source: str) -> Plan | None:
-    """The fast path over a splittable line scan; None if there is a quote."""
+    """The fast path over a splittable line scan; None if there is a quote, or a CR at the end."""
     # ORD right on the scan, where it rises with the place in the file; lines end at LF only
     lines = spark.read.text(peek.uri, lineSep="\n").select("value", F.monotonically_increasing_id().alias(ORD))
-    open_end = peek.size and peek.last != b"\n"
-    final = lines.agg(F.max(ORD)).first()[0] if open_end and peek.last == b"\r" else None
-    ends = F.endswith("value", F.lit("\r"))
-    if final is not None:  # a CR that ends the file is data
-        ends = ends & (F.col(ORD) != final)
-    line = F.when(ends, F.left("value", F.length("value") - 1)).otherwise(F.col("value"))
+    if peek.last == b"\r":  # a CR that ends the file is data, and only the record scan knows its line
+        return None
+    line = F.when(F.endswith("value", F.lit("\r")), F.left("value", F.length("value") - 1)).otherwise(F.col("value"))
     lines = lines.select(line.alias("value"), ORD).where("value <> ''")
     first = lines.head()
     if first is None:
@@ -104,13 +101,16 @@ class _Split:
 
     def records(self, opened: dict[int, int]):
         """Rows of records that lie in one split, numbered by their first line, and the lines of those that don't, with
-        their record's number. opened: splits that start in a quoted field, and in which record."""
+        their record's number. opened: for every split the record that is open where it starts, -1 if none is."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             record, pending, whole, first = -1, [], True, True
             for batch in batches:
                 if first and batch.num_rows:
-                    record = opened.get(batch.column("split")[0].as_py(), -1)
+                    start = batch.column("split")[0].as_py()
+                    if start not in opened:
+                        raise RuntimeError("files are split otherwise than when the table was read; keep spark.sql.files settings, or read it again")
+                    record = opened[start]
                     whole, first = record < 0, False
                 out = _Rows()
                 for n, line in self.lines(batch):
@@ -186,13 +186,13 @@ def _scanned(spark: SparkSession, peek: Peek, mark: int, source: str) -> Plan:
     split = _Split(mark, peek.first == BOM, final)
     opened, at = {}, -1
     for row in sorted(lines.mapInArrow(split.summary, "split long, plain long, quoted long").collect()):
-        if at >= 0:
-            opened[row.split] = at
-            at = at if row.quoted is None else row.quoted
-        else:
+        opened[row.split] = at
+        if at < 0:
             at = row.plain
+        elif row.quoted is not None:
+            at = row.quoted
     found = lines.mapInArrow(split.records(opened), _ROWS)
-    if opened or at >= 0:
+    if at >= 0 or any(n >= 0 for n in opened.values()):
         crossing = found.where("line IS NOT NULL").groupBy(ORD).applyInArrow(lambda key, rows: split.joined(key, rows), _ROWS)
         found = found.where("line IS NULL").union(crossing)
     found = found.select(ORD, "cells", "error")
