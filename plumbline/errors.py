@@ -14,18 +14,18 @@ class ParseError(ValueError):
     """The input is not a table in the accepted grammar."""
 
 
-#: What is wrong with a malformed input, by the scanner's codes.
+#: What is wrong with a malformed input, by the scanner's codes.
 PARSE_MESSAGES = {
-    "unterminated": "a quoted field is never closed",
-    "after_quote": "unexpected character after a closing quote",
-    "ragged": "a record has a different field count than the header",
-    "no_header": "the input has no header record",
+    "unterminated": "an opened quote is never closed",
+    "after_quote": "there is text after a closing quote",
+    "ragged": "a record has a different field count from the header's",
+    "no_header": "there is no header in this input",
 }
-NOT_NUMERIC = "this operation needs a numeric column"
-EMPTY_COLUMN = "a column with no rows has no value here"
-SUM_OVERFLOW = "the sum left the range of a 64-bit integer"
-TEXT_AND_NUMBER = "cannot compare text with a number"
-BAD_DELIMITER = "the delimiter cannot be a quote or a line break"
+NOT_NUMERIC = "only columns of numbers have this"
+EMPTY_COLUMN = "there is no such value without rows"
+SUM_OVERFLOW = "the sum does not fit 64 bits"
+TEXT_AND_NUMBER = "text and numbers do not compare"
+BAD_DELIMITER = "quotes and line breaks cannot delimit fields"
 
 
 def parse_error(code: str, source: str | None) -> ParseError:

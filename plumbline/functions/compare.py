@@ -18,15 +18,15 @@ OPERATORS = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": opera
 def check(name: str, kind: ColumnType, op: str, value: Any) -> None:
     """Raises what comparing a column of this type with the constant raises."""
     if op not in OPERATORS:
-        raise ValueError(f"unknown operator {op!r}; expected one of {', '.join(OPERATORS)}")
+        raise ValueError(f"{op!r} is no comparison; there are {' '.join(OPERATORS)}")
     if isinstance(value, bool):
-        raise TypeError(f"cannot compare column {name!r} with a bool")
+        raise TypeError(f"{name!r} holds no bools to compare with")
     if not isinstance(value, (int, float, str)):
-        raise TypeError(f"cannot compare column {name!r} with {type(value).__name__}; expected int, float or str")
+        raise TypeError(f"{name!r} compares with int, float or str, not {type(value).__name__}")
     if isinstance(value, str) != (kind is ColumnType.STRING):
         raise TypeError(f"{TEXT_AND_NUMBER}: {name} {op} {value!r}")
     if isinstance(value, int) and not -(2**63) <= value < 2**63:
-        raise OverflowError(f"{value} is outside the range of a 64-bit integer")
+        raise OverflowError(f"{value} does not fit 64 bits")
 
 
 def predicate(column: Column, kind: ColumnType, op: str, value: Any) -> Column:

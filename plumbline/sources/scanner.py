@@ -127,9 +127,9 @@ def delimiter_byte(delimiter: str) -> int:
     from plumbline.errors import BAD_DELIMITER
 
     if not isinstance(delimiter, str):
-        raise TypeError(f"delimiter must be a str, not {type(delimiter).__name__}")
+        raise TypeError(f"a delimiter is a str, not {type(delimiter).__name__}")
     if len(delimiter) != 1 or not delimiter.isascii():
-        raise ValueError(f"delimiter must be a single ASCII character, not {delimiter!r}")
+        raise ValueError(f"a delimiter is one ASCII character, not {delimiter!r}")
     if delimiter in '"\r\n':
         raise ValueError(BAD_DELIMITER)
     return ord(delimiter)
