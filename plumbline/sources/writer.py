@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plumbline.functions.csv_text import field, header
@@ -12,8 +13,14 @@ from plumbline.plans import Plan
 from plumbline.sources.scanner import delimiter_byte
 
 
-def lines(plan: Plan, delimiter: str) -> Iterator[str]:
-    """The records in order, without line ends, header first. Rows come a partition at a time."""
+def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(["\n".join(batch.column(0).to_pylist())], pa.string())], names=["block"])
+
+
+def blocks(plan: Plan, delimiter: str) -> Iterator[str]:
+    """The records in order, header first, many to a text, without its last line end. They come a partition at a time."""
     delimiter_byte(delimiter)
     yield header(plan.names, delimiter)
     if not plan.names:
@@ -22,20 +29,20 @@ def lines(plan: Plan, delimiter: str) -> Iterator[str]:
         return
     fields = [field(F.col(f"c{i}"), kind, delimiter, len(plan.types) == 1) for i, kind in enumerate(plan.types)]
     ordered = plan.df.orderBy(*plan.order()).select(F.concat_ws(delimiter, *fields).alias("line"))
-    for row in ordered.toLocalIterator(prefetchPartitions=True):
-        yield row.line
+    for row in ordered.mapInArrow(_block_batches, "block string").toLocalIterator(prefetchPartitions=True):
+        yield row.block
 
 
 def to_csv(plan: Plan, path: str | os.PathLike[str] | None = None, delimiter: str = ",") -> str | None:
     """The table as CSV text, or written to one local file. It reads back with the same names, types and values."""
-    found = lines(plan, delimiter)
+    found = blocks(plan, delimiter)
     if path is None:
-        return "".join(line + "\n" for line in found)
+        return "".join(block + "\n" for block in found)
     first = next(found)
     with open(path, "wb") as out:
         out.write(first.encode() + b"\n")
-        for line in found:
-            out.write(line.encode() + b"\n")
+        for block in found:
+            out.write(block.encode() + b"\n")
     return None
 
 
