@@ -1,21 +1,26 @@
 """Language-model scores: a log-bilinear neural model trained with noise-contrastive estimation.
 
 1. Words of all training texts are counted (grouped sum, pre-aggregated in the tasks).
-2. The model predicts classes: the VOCABULARY most frequent words, the end, and one class of all other
-   words, which is divided among these in proportion to (count + 1). Sequences of three classes are counted over
-   all training texts; there are at most VOCABULARY^3 of them however large the corpus.
-3. Log-bilinear model: the vector predicted from two words is R[a] C1 + R[b] C2, and a class's score its product
-   with Q[w], plus a bias. It is trained in NumPy on those counts by noise-contrastive estimation: data against K
-   noise words a token from the unigram distribution, whose expectation is taken exactly.
-4. Batched matrix products give the scores of all classes after all contexts, and their exact normalisation. A
-   token's log-probability is then a look-up.
-5. Words frequent enough that there can be at most HEAD of them are scored in the task that reads the text;
-   the rest meet their counts in a join, a row for each word and text.
+2. The model knows every word that occurs TRAINED times or more, so its vocabulary grows with the corpus. A word has a
+   vector as context. As target it is one of the most frequent words, which the first level of the output holds by
+   themselves, or it belongs to a group of words of like frequency: the first level predicts the group, the second the
+   word in it. There are about as many groups as words in each. Rarer words are one class, divided among them in
+   proportion to (count + 1).
+3. Log-bilinear model: the vector predicted from two words is R[a] C1 + R[b] C2, and an output's score its product
+   with Q[w], plus a bias. It starts from a small model of the most frequent words (LogBilinear, on counted sequences of
+   three classes). Then shards of the training texts, whose number grows with the root of the corpus, go on
+   training it by noise-contrastive estimation with drawn noise words, and the mean of their changes is the model.
+4. Batched matrix products give the scores of all outputs of the first level and of a group after each context, and
+   their exact normalisation.
+5. Words in the broadcast table are scored in the task that reads the text; the rest meet their counts in a join, a row
+   for each word and text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +29,18 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.text import SPACED, Words, buffers, chunks, columns, crc_of_id, written
 
-#: Classes of the model: other words, the end, the beginning (context only), and the most frequent words.
+#: Outputs that are not groups: rare words, the end, the beginning (context only), and the most frequent words.
 VOCABULARY = 128
 OTHER, END, BEGIN, WORDS = 0, 1, 2, 3
-#: A word that makes up at least 1/HEAD of all tokens is in the broadcast table, so that has HEAD rows at most, of words of
-#: up to LONGEST bytes.
+#: Words that occur so often in the training texts have vectors of their own.
+TRAINED = 20
+#: A word that makes up at least 1/HEAD of all tokens is in the broadcast table, too. Words of more than LONGEST bytes are
+#: there by their digest.
 HEAD, LONGEST = 300_000, 64
+#: A corpus of n times as many tokens has the root of n more shards to train in.
+SHARD_TOKENS = 400_000
+#: Tokens that small corpora are trained on, over and over.
+PASSES, PASSED_TOKENS = 8, 4_000_000
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 300_000
 
@@ -80,7 +91,7 @@ def _sequence_batches(vocabulary: dict[bytes, int], n: int):
             for a, b in chunks(at):
                 words = Words(raw[at[a] : at[b]], at[a : b + 1] - at[a], SPACED)
                 codes, distinct = words.coded()
-                classes = np.fromiter((vocabulary.get(w, OTHER) for w in distinct), dtype=np.int64, count=len(distinct))[codes]
+                classes = np.fromiter((vocabulary.get(_key(w), OTHER) for w in distinct), dtype=np.int64, count=len(distinct))[codes]
                 x, y, z, _ = _sequences(classes, words)
                 total += np.bincount((x * n + y) * n + z, minlength=n**3)
         cell = np.flatnonzero(total)
@@ -150,8 +161,221 @@ class LogBilinear:
         return first, second, log_z
 
 
-def _score_batches(head: dict[bytes, int], vocabulary: dict[bytes, int], tables, end_count: int, modulus: int, remainder: int):
-    first, second, log_z = tables
+def _key(word: bytes) -> bytes:
+    return word if len(word) <= LONGEST else sha256(word).digest()
+
+
+def _code_batches(table: dict[bytes, int], known: int):
+    """(shard, place, ids): each text as the ids of its words and its end, OTHER from `known` on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = buffers(batch.column("text"))
+            for a, b in chunks(at):
+                words = Words(raw[at[a] : at[b]], at[a : b + 1] - at[a], SPACED)
+                _, codes = _ids(table, known, *words.coded())
+                ends = np.concatenate(([0], np.cumsum(words.per_row)))
+                ids = codes.astype(np.int32)
+                texts = [ids[i:j].tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(a, b - a), batch.column("place").slice(a, b - a), pa.array(texts, pa.binary())], names=["shard", "place", "ids"])
+
+    return run
+
+
+def _ids(table: dict[bytes, int], known: int, codes: np.ndarray, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each distinct word in the table (-1: none), and the model's id of each word."""
+    place = np.fromiter((table.get(_key(w), -1) for w in distinct), dtype=np.int64, count=len(distinct))
+    return place, np.where((place >= 0) & (place < known), place, OTHER)[codes]
+
+
+class Factored:
+    """The model of all trained words. One matrix holds, a row each: the context vectors of all ids, the outputs of the first
+    level (frequent words, then groups), those of the second (words of groups), and C1 and C2. The last column is the bias."""
+
+    def __init__(self, start: LogBilinear, counts: np.ndarray):
+        """counts: of each id, in the order of ids; those of OTHER, END and BEGIN first."""
+        self.n, self.ids, self.width = len(start.bias), len(counts), start.r.shape[1]
+        self.grouped = max(self.ids - self.n, 0)
+        self.size = max(math.isqrt(max(self.grouped - 1, 0)) + 1, 1)
+        self.groups = -(-self.grouped // self.size)
+        self.first = self.ids
+        self.second = self.first + self.n + self.groups
+        self.c = self.second + self.grouped
+        self.p = p = np.zeros((self.c + 2 * self.width, self.width + 1), dtype=np.float32)
+        d = self.width
+        some = min(self.n, self.ids)
+        p[:some, :d], p[some : self.ids, :d] = start.r[:some], start.r[OTHER]
+        p[self.first : self.first + self.n] = np.concatenate((start.q, start.bias[:, None]), axis=1)
+        p[self.first + self.n : self.second] = p[self.first + OTHER]
+        p[self.c :, :d] = start.c.reshape(2 * d, d)
+        words = counts[self.n :].astype(np.float64)
+        mass = np.add.reduceat(words, np.arange(0, self.grouped, self.size)) if self.grouped else np.zeros(0)
+        shares = np.concatenate(([counts[OTHER] + 0.1], mass))
+        shares = np.log(shares / shares.sum())
+        p[self.first + OTHER, d] += shares[0]
+        p[self.first + self.n : self.second, d] += shares[1:]
+        group = np.arange(self.grouped) // self.size
+        p[self.second : self.c, d] = np.log(words / mass[group]) if self.grouped else 0
+        self.allowed = np.concatenate((start.allowed, np.ones(self.groups, dtype=bool)))
+        # noise: unigrams of the first level, and of each group
+        top = np.zeros(self.n)
+        top[:some] = counts[:some] + 0.1
+        noise = np.where(self.allowed, np.concatenate((top, mass)), 0)
+        self.noise = noise / noise.sum()
+        self.log_noise = np.log(np.where(self.noise > 0, self.noise, 1)).astype(np.float32)
+        self.within = p[self.second : self.c, d].copy()
+        self.up_to = np.concatenate(([0], np.cumsum(words)))
+
+    def outputs(self, z: np.ndarray) -> np.ndarray:
+        """Output of the first level for each id."""
+        return np.where(z < self.n, z, self.n + (z - self.n) // self.size)
+
+    def predicted(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = self.width
+        h = np.ones((len(x), d + 1), dtype=np.float32)
+        h[:, :d] = self.p[x, :d] @ self.p[self.c : self.c + d, :d] + self.p[y, :d] @ self.p[self.c + d :, :d]
+        return h
+
+    def train(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, passes: int, seed: int, batch: int = 4096, drawn: int = 64, noise: int = 8, few: int = 4, rate: float = 0.05) -> np.ndarray:
+        """Goes on training on tokens z after x, y; returns how often each row of the matrix was changed."""
+        rng, p, d = np.random.default_rng(seed), self.p, self.width
+        self.squares, self.changed = np.zeros(len(p), dtype=np.float32), np.zeros(len(p), dtype=np.int32)
+        edges = np.cumsum(self.noise)
+        steps, at = passes * -(-len(z) // batch), 0
+        for _ in range(passes):
+            order = rng.permutation(len(z))
+            for lo in range(0, len(z), batch):
+                self.rate = rate * (1 - at / steps)
+                at += 1
+                some = order[lo : lo + batch]
+                a, b, w = x[some], y[some], z[some]
+                h = self.predicted(a, b)
+                # first level: one draw of noise for the whole batch
+                out = self.outputs(w)
+                false = np.minimum(np.searchsorted(edges, rng.random(drawn) * edges[-1], "right"), len(edges) - 1)
+                q, v = p[self.first + out], p[self.first + false]
+                shift = np.float32(math.log(noise))
+                g = 1 - _sigmoid((h * q).sum(axis=1) - self.log_noise[out] - shift)
+                f = -(noise / drawn) * _sigmoid(h @ v.T - self.log_noise[false] - shift)
+                back = g[:, None] * q + f @ v
+                rows, grads = [self.first + out, self.first + false], [g[:, None] * h, f.T @ h]
+                # second level: a few words of the same group for each token
+                deep = np.flatnonzero(w >= self.n)
+                if len(deep):
+                    word, hd = w[deep] - self.n, h[deep]
+                    begin = word // self.size * self.size
+                    low, high = self.up_to[begin], self.up_to[np.minimum(begin + self.size, self.grouped)]
+                    draw = np.searchsorted(self.up_to, low[:, None] + rng.random((len(deep), few)) * (high - low)[:, None], "right") - 1
+                    draw = np.clip(draw, begin[:, None], np.minimum(begin + self.size, self.grouped)[:, None] - 1)
+                    pick = np.concatenate((word[:, None], draw), axis=1)
+                    v = p[self.second + pick]
+                    score = np.einsum("nd,nkd->nk", hd, v) - self.within[pick] - np.float32(math.log(few))
+                    g = -_sigmoid(score)
+                    g[:, 0] += 1
+                    back[deep] += np.einsum("nk,nkd->nd", g, v)
+                    rows.append((self.second + pick).ravel())
+                    grads.append((g[:, :, None] * hd[:, None, :]).reshape(-1, d + 1))
+                back = back[:, :d]
+                ra, rb = p[a, :d], p[b, :d]
+                c = p[self.c :, :d]
+                wide = np.zeros((2 * len(w) + 2 * d, d + 1), dtype=np.float32)
+                wide[: len(w), :d], wide[len(w) : 2 * len(w), :d] = back @ c[:d].T, back @ c[d:].T
+                wide[2 * len(w) : 2 * len(w) + d, :d], wide[2 * len(w) + d :, :d] = ra.T @ back, rb.T @ back
+                self._step(np.concatenate((*rows, a, b, np.arange(self.c, len(p)))), np.concatenate((*grads, wide)))
+        return self.changed
+
+    def _step(self, rows: np.ndarray, grads: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        begin = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        rows, g = rows[begin], np.add.reduceat(grads[order], begin, axis=0)
+        self.squares[rows] += (g * g).mean(axis=1)
+        self.changed[rows] += 1
+        self.p[rows] += self.rate * g / np.sqrt(self.squares[rows] + 1e-8)[:, None]
+
+    def log_probability(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, step: int = 8192) -> np.ndarray:
+        """Natural log of P(z | x, y), normalised over all outputs of the first level and all words of z's group."""
+        q = self.p[self.first : self.second].T.copy()
+        q[-1, ~self.allowed] = -np.inf
+        out, found = self.outputs(z), np.empty(len(z))
+        for lo in range(0, len(z), step):
+            part = slice(lo, lo + step)
+            found[part] = _log_share(self.predicted(x[part], y[part]) @ q, out[part])
+        deep = np.flatnonzero(z >= self.n)
+        deep = deep[np.argsort(out[deep], kind="stable")]
+        edges = [*np.flatnonzero(np.diff(out[deep], prepend=-1)).tolist(), len(deep)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            begin = (int(out[deep[lo]]) - self.n) * self.size
+            v = self.p[self.second + begin : self.second + min(begin + self.size, self.grouped)].T
+            for i in range(lo, hi, step):
+                some = deep[i : min(i + step, hi)]
+                found[some] += _log_share(self.predicted(x[some], y[some]) @ v, z[some] - self.n - begin)
+        return found
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _log_share(scores: np.ndarray, which: np.ndarray) -> np.ndarray:
+    scores -= scores.max(axis=1, keepdims=True)
+    own = scores[np.arange(len(which)), which].astype(np.float64)
+    return own - np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))
+
+
+def _train_shard(start: LogBilinear, counts: np.ndarray, passes: int):
+    """(row, times, change) of the rows of the matrix that a shard's texts change."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        model = Factored(start, counts)
+        before = model.p.copy()
+        # the same order however the rows came
+        texts = sorted(zip(shard.column("place").to_pylist(), shard.column("ids").to_pylist(), strict=True))
+        tokens = []
+        for _, ids in texts:
+            tokens += [np.array([BEGIN, BEGIN], np.int32), np.frombuffer(ids, np.int32), np.array([END], np.int32)]
+        ids = np.concatenate(tokens)
+        at = np.flatnonzero(ids != BEGIN)
+        times = model.train(ids[at - 2], ids[at - 1], ids[at], passes, seed=int(shard.column("shard")[0].as_py()))
+        rows = np.flatnonzero(times)
+        change = (model.p[rows] - before[rows]).astype(np.float16)
+        return pa.table({"row": pa.array(rows), "times": pa.array(times[rows].astype(np.int64)), "change": _binary(change)})
+
+    return run
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    kind = pa.binary(rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(kind, len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def _floats(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, width)
+
+
+def _mean_batches(width: int):
+    """The mean change of each row, weighted by how often a shard changed it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [b for b in batches if b.num_rows]
+        if not kept:
+            return
+        rows = np.concatenate([b.column("row").to_numpy() for b in kept])
+        times = np.concatenate([b.column("times").to_numpy() for b in kept]).astype(np.float64)
+        order = np.argsort(rows, kind="stable")
+        change = np.concatenate([_floats(b.column("change"), width) for b in kept])[order]
+        rows, times = rows[order], times[order]
+        begin = np.flatnonzero(np.diff(rows, prepend=-1))
+        mean = np.add.reduceat(change * times[:, None], begin, axis=0) / np.add.reduceat(times, begin)[:, None]
+        for lo in range(0, len(begin), 100_000):
+            part = slice(lo, lo + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[begin[part]]), _binary(mean[part].astype(np.float16))], names=["row", "change"])
+
+    return run
+
+
+def _score_batches(table: dict[bytes, int], listed: np.ndarray, model: Factored, end_count: int, modulus: int, remainder: int):
+    """table: place of each listed word; listed: the count at each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -160,14 +384,14 @@ def _score_batches(head: dict[bytes, int], vocabulary: dict[bytes, int], tables,
         for batch in batches:
             raw, at = buffers(batch.column("text"))
             held = crc_of_id(batch.column("doc_id")) % modulus == remainder
-            for a, b in chunks(at):
+            for a, b in chunks(at, 1 << 20):
                 words = Words(raw[at[a] : at[b]], at[a : b + 1] - at[a], SPACED)
                 codes, distinct = words.coded()
                 n, m = b - a, len(distinct)
-                counts = np.fromiter((head.get(w, -1) for w in distinct), dtype=np.int64, count=m)
-                classes = np.fromiter((vocabulary.get(w, OTHER) for w in distinct), dtype=np.int64, count=m)[codes]
+                place, classes = _ids(table, model.ids, codes, distinct)
+                counts = np.where(place >= 0, listed[place], -1)
                 x, y, z, row = _sequences(classes, words)
-                model = np.bincount(row, weights=first[x, z] + second[y, z] - log_z[x, y], minlength=n) / np.log(10)
+                score = np.bincount(row, weights=model.log_probability(x, y, z), minlength=n) / np.log(10)
                 count = counts[codes]
                 logs = np.log10(np.maximum(count, 0) + 1.0)
                 in_head = count >= 0
@@ -179,7 +403,7 @@ def _score_batches(head: dict[bytes, int], vocabulary: dict[bytes, int], tables,
                 key += n
                 nulls = lambda kind: pa.nulls(n, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), batch.column("doc_id").slice(a, n), pa.array(held[a:b]), pa.array(words.per_row + 1), pa.array(known), pa.array(base), pa.array(model), pa.array(others), pa.array(n_other), nulls(pa.binary()), nulls(pa.int64())],
+                    [pa.array(keys), batch.column("doc_id").slice(a, n), pa.array(held[a:b]), pa.array(words.per_row + 1), pa.array(known), pa.array(base), pa.array(score), pa.array(others), pa.array(n_other), nulls(pa.binary()), nulls(pa.int64())],
                     names=_SCORED,
                 )
                 # a row for each word and text that the table doesn't have
@@ -212,22 +436,38 @@ def scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, vocabulary: in
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
     ends = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
-    short = counts.where(F.col("word").isNotNull() & (F.octet_length("word") <= LONGEST))
-    top = short.orderBy(F.desc("n"), "word").limit(vocabulary - WORDS).collect()
-    classes = {bytes(r.word): WORDS + i for i, r in enumerate(top)}
-    table = short.where(F.col("n") * HEAD >= total).toArrow()
-    head = dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist(), strict=True)) | {bytes(r.word): r.n for r in top}
+    # by falling count: the places of listed words, of which the first are the model's
+    key = F.when(F.octet_length("word") <= LONGEST, F.col("word")).otherwise(F.unhex(F.sha2("word", 256)))
+    often = counts.where(F.col("word").isNotNull() & ((F.col("n") >= TRAINED) | (F.col("n") * HEAD >= total))).select(key.alias("key"), "n").toArrow().sort_by([("n", "descending"), ("key", "ascending")])
+    times = often.column("n").to_numpy()
+    table = dict(zip(often.column("key").to_pylist(), range(WORDS, WORDS + len(times)), strict=True))
+    listed = np.concatenate((np.zeros(WORDS, dtype=np.int64), times))
+    n_model = max(min(len(times), vocabulary - WORDS), int((times >= TRAINED).sum()))
+    modelled = WORDS + n_model
+    in_model = int(times[:n_model].sum())
+    of_ids = listed[:modelled].copy()
+    of_ids[[OTHER, END]] = total - ends - in_model, ends
+    classes = {word: place for word, place in table.items() if place < min(modelled, vocabulary)}
     cells = training.mapInArrow(_sequence_batches(classes, vocabulary), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     count = np.zeros(vocabulary**3, dtype=np.int64)
     count[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    model = LogBilinear(count.reshape(vocabulary, vocabulary, vocabulary))
-    scored = written(texts.mapInArrow(_score_batches(head, classes, model.tables(), ends, modulus, remainder), _SCORED_TYPES))
+    start = LogBilinear(count.reshape(vocabulary, vocabulary, vocabulary))
+    model = Factored(start, of_ids)
+    shards = 1 + math.isqrt(total // SHARD_TOKENS)
+    passes = max(1, min(PASSES, PASSED_TOKENS // max(total, 1)))
+    place = F.xxhash64("doc_id", "text")
+    dealt = texts.where(crc % modulus != remainder).select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), place.alias("place"), "text")
+    coded = dealt.mapInArrow(_code_batches(table, modelled), "shard int, place long, ids binary")
+    changes = coded.groupBy("shard").applyInArrow(_train_shard(start, of_ids, passes), "row long, times long, change binary")
+    changes = changes.repartition(shards, "row").mapInArrow(_mean_batches(model.width + 1), "row long, change binary").toArrow()
+    for batch in changes.to_batches():
+        model.p[batch.column("row").to_numpy()] += _floats(batch.column("change"), model.width + 1)
+    scored = written(texts.mapInArrow(_score_batches(table, listed, model, ends, modulus, remainder), _SCORED_TYPES))
     rare = scored.where("word IS NOT NULL").select("key", "word", F.col("n").alias("times"))
     met = rare.join(counts.where("word IS NOT NULL"), "word", "left").select("key", "times", F.coalesce("n", F.lit(0)).alias("c"))
     more = met.groupBy("key").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("logs"))
     # what the class of other words is divided by: their tokens, one more for each, and one for words not seen
-    in_model = sum(r.n for r in top)
-    divided = float(np.log10(total - ends - in_model + distinct - (ends > 0) - len(top) + 1))
+    divided = float(np.log10(total - ends - in_model + distinct - (ends > 0) - n_model + 1))
     per_token = float(np.log10(total + distinct + 1))
     logs = F.coalesce("logs", F.lit(0.0))
     return scored.where("word IS NULL").join(more, "key", "left").select(

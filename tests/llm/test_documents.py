@@ -236,3 +236,30 @@ def test_lm_beats_unigrams_on_held_out(spark):
     scored = lm_score.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)).where("held_out")
     base, model = scored.selectExpr("sum(base_score)", "sum(score)").first()
     assert model > base
+
+
+def test_lm_learns_words_beyond_the_most_frequent(spark):
+    """Pairs of words, none of them among the classes of the small model: the second follows from the first, or not."""
+    rng = np.random.default_rng(5)
+    pairs = rng.integers(0, 40, (6000, 10))
+    texts = [" ".join(f"a{k} b{k}" for k in row) for row in pairs.tolist()]
+    odd = [" ".join(f"a{k} b{(k + 7) % 40}" for k in row) for row in pairs[:300].tolist()]
+    docs = spark.createDataFrame([*enumerate(texts), *((-1 - i, t) for i, t in enumerate(odd) if crc32(str(-1 - i).encode()) % 7 == 2)], "doc_id long, text string")
+    scored = lm_score.scores(docs, vocabulary=8).where("held_out").cache()
+    right, base = scored.where("doc_id >= 0").selectExpr("avg(score)", "avg(base_score)").first()
+    wrong = scored.where("doc_id < 0").selectExpr("avg(score)").first()[0]
+    # a right pair's second word is nearly certain: up to half of the text's information
+    assert right > 0.75 * base and right > wrong + 5
+
+
+def test_lm_factored_is_a_distribution():
+    rng = np.random.default_rng(1)
+    n, ids = 6, 60
+    start = lm_score.LogBilinear(rng.integers(0, 9, (n, n, n)), steps=3)
+    model = lm_score.Factored(start, np.sort(rng.integers(1, 99, ids))[::-1].copy())
+    x, y, z = (rng.integers(0, ids, 3000) for _ in range(3))
+    model.train(x, y, np.where(z == lm_score.BEGIN, 1, z), 1, 0)
+    every = np.array([i for i in range(ids) if i != lm_score.BEGIN])
+    for a, b in ((0, 0), (2, 2), (2, 40), (59, 3)):
+        logs = model.log_probability(np.full(len(every), a), np.full(len(every), b), every)
+        assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
