@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.text import columns
 
 ORDER = 5
-#: Labelled URLs of each class that are fitted and calibrated on, those with the lowest hash; each URL counts
-#: by its first FITTED_CHARS characters in fitting, and by all in judging.
-SAMPLE, FITTED_CHARS = 4000, 512
+#: Labelled URLs of each class that are fitted and calibrated on, those with the lowest hash, each whole.
+SAMPLE = 4000
 
 #: (verdict, rule): a rule is a host, then the beginning of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -145,7 +144,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sa
     seen = columns(pages, (id_col, "page_id"), (url_col, "url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     seen = seen.select("*", rule.alias("rule"), ruled.alias("ruled"))
-    known = seen.where("ruled IS NOT NULL").select(F.substring("url", 1, FITTED_CHARS).alias("url"), "ruled").distinct()
+    known = seen.where("ruled IS NOT NULL").select("url", "ruled").distinct()
 
     def examples(said: str) -> list[str]:
         return [r.url for r in known.where(F.col("ruled") == said).orderBy(F.xxhash64("url"), "url").limit(sample).collect()]

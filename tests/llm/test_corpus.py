@@ -84,6 +84,16 @@ def test_no_pages(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_long_urls_are_fitted_whole(spark):
+    """URLs that differ after 600 characters alone: the models have to see the tails."""
+    path = "x" * 600
+    known = [f"http://example.net/en/{path}/{'good' * 3}{i}" for i in range(12)] + [f"http://example.com/de/{path}/{'evil' * 3}{i}" for i in range(12)]
+    asked = [f"http://host.test/{path}/{w * 3}7" for w in ("good", "evil")]
+    pages = spark.createDataFrame(list(enumerate(known + asked)), "page_id long, url string")
+    got = {r.page_id: r.score for r in url_filter.filter_urls(pages).collect()}
+    assert got[24] - got[25] > 0.05
+
+
 # sharding
 
 
