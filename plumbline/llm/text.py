@@ -125,6 +125,20 @@ def written(df: DataFrame, keep: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key of more rows than this is joined by broadcast; there are at most rows / HOT_ROWS such keys.
+HOT_ROWS = 100_000
+
+
+def joined(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of classes, which has each key of rows once and in `rows` how many rows have it. Rows of keys that
+    are very frequent meet their class where they are, so that no task gets all of them."""
+    hot, rest = classes.where(F.col("rows") > HOT_ROWS), classes.where(F.col("rows") <= HOT_ROWS)
+    if hot.isEmpty():
+        return rows.join(classes, key)
+    hot = F.broadcast(hot)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def partitions_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 

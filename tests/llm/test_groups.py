@@ -59,7 +59,7 @@ def test_gray_index(most):
     codes = np.unique(np.concatenate([base, *near, near[0] ^ (base & np.uint64(3))]))
     group = rng.integers(0, 2, len(codes))
     index = simhash.GrayIndex(codes, group)
-    got = {tuple(sorted((int(index.codes[a]), int(index.codes[b])))) for i, j in index.within(most) for a, b in zip(i, j, strict=True)}
+    got = {tuple(sorted((int(index.codes[a]), int(index.codes[b])))) for i, j, _ in index.within(most) for a, b in zip(i, j, strict=True)}
     want = {tuple(sorted((int(codes[a]), int(codes[b])))) for a in range(len(codes)) for b in range(a) if group[a] == group[b] and int(codes[a] ^ codes[b]).bit_count() <= most}
     assert got == want
 
@@ -101,10 +101,105 @@ def test_near_duplicates(spark, docs, rows, nothing):
         least[g] = min(i if i is not None else 1 << 60, least.get(g, 1 << 60))
     want = sorted(((i, f"{p:016x}", least[g] if least[g] < 1 << 60 else None) for i, p, g in zip(ids, prints, label, strict=True)), key=str)
     assert sorted((tuple(r) for r in simhash.near_duplicates(table).collect()), key=str) == want
-    kept = simhash.one_of_each(table)
-    got = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in got if i is not None) == sorted({c for i, _, c in want if i == c and i is not None}) and got.count(None) == 1 and kept.columns == table.columns
-    assert simhash.near_duplicates(nothing).count() == 0 and simhash.one_of_each(nothing).count() == 0
+    assert simhash.near_duplicates(nothing).count() == 0
+
+
+def test_null_ids_carry_links(spark):
+    """A fingerprint that only rows without an id hold bridges two others."""
+    code = lambda *bits: sum(1 << b for b in bits)
+    words = {}
+    for k in range(200_000):
+        p = brute_print(f"w{k}")
+        words.setdefault(p >> 52, []).append((p, f"w{k}"))
+    bridge = next((a, b, c) for group in words.values() for a in group for b in group for c in group if 0 < (a[0] ^ b[0]).bit_count() <= 14 and 0 < (b[0] ^ c[0]).bit_count() <= 14 and (a[0] ^ c[0]).bit_count() > 14)
+    rows = [(9, bridge[0][1]), (None, bridge[1][1]), (5, bridge[2][1]), (None, "alone without an id")]
+    assert code(0, 1) == 3
+    got = {r.fingerprint: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 14, group_rows=4).collect()}
+    assert [got[f"{brute_print(t):016x}"] for _, t in rows] == [5, 5, 5, None]
+
+
+def sets_of(text, n=5):
+    import re
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", low(text))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def similar(a, b, least=0.8):
+    shared = len(a & b)
+    return shared >= least * (len(a) + len(b) - shared)
+
+
+def one_of_each(rows, least=0.8):
+    """Indices of the rows that stay: of each group the smallest id, then the first; null ids last."""
+    sets = [sets_of(t) for _, t in rows]
+    label = reach(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if similar(sets[a], sets[b], least)])
+    best = {}
+    for k, ((i, _), g) in enumerate(zip(rows, label, strict=True)):
+        best[g] = min(best.get(g, (1 << 60, 0)), (1 << 59 if i is None else i, k))
+    return sorted(k for _, k in best.values())
+
+
+@pytest.mark.parametrize("sizes", [{}, {"group_rows": 8, "set_sizes": 2000}])
+def test_near_copies(spark, docs, rows, nothing, sizes):
+    """Against every pair's sets: edits of many strengths, chains of them, passages that many texts share, repeated ids, null ids."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"word{k}" for k in range(400)]
+    some = [(k, t) for k, (_, t) in enumerate(rows)]
+    fresh = lambda n: rng.choice(vocabulary, n).tolist()
+    passage = fresh(60)
+    for k in range(12):
+        w = fresh(120)
+        for edits in range(6):
+            some.append((30_000 + 10 * k + edits, " ".join(w)))
+            w = list(w)
+            for at in rng.integers(0, len(w), rng.integers(1, 5)):
+                w[at] = str(rng.choice(vocabulary))
+    some += [(40_000 + k, " ".join(passage + fresh(int(rng.integers(5, 60))))) for k in range(60)]
+    some += [(7, "alpha beta gamma delta epsilon zeta"), (7, "one two three four five six"), (None, "one two three four five six"), (None, "only here and without any id"), (None, "only here and without any id")]
+    table = spark.createDataFrame([(i, t, k, k) for k, (i, t) in enumerate(some)], "doc_id long, text string, n long, _metadata long").repartition(3)
+    stay = one_of_each(some)
+    if sizes:
+        placed, file, index = simhash._placed(table)
+        near = simhash.near_copies(placed, **sizes).where("NOT kept")
+        kept = placed.withColumns({"file": file, "index": index}).join(near.select("file", "index"), ["file", "index"], "left_anti").collect()
+    else:
+        kept = simhash.one_of_each(table).collect()
+        assert simhash.one_of_each(table).columns == table.columns
+    # of rows with one id and one text, either may be the first
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(some[k][0]), str(some[k][1])) for k in stay)
+    assert len(stay) < len(some) - 40
+    assert simhash.one_of_each(nothing).collect() == []
+
+
+def test_shared_sets():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(80)] + [np.arange(40), np.arange(41), np.arange(1, 41)]
+    label, part = rng.integers(0, 70, len(sets)), np.zeros(len(sets), dtype=int)
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if similar(set(sets[a].tolist()), set(sets[b].tolist()), 0.5)]
+    same = [(a, b) for a in range(len(sets)) for b in range(a) if label[a] == label[b]]
+    assert reach(len(sets), same + simhash.alike(sets, label, part, 0.5)) == reach(len(sets), same + links)
+    halves = (np.arange(len(sets)) % 2) + 1
+    across = [(a, b) for a, b in links if halves[a] != halves[b]]
+    found = simhash.alike(sets, np.arange(len(sets)), halves, 0.5)
+    assert reach(len(sets), found) == reach(len(sets), across) and set(found) <= set(across)
+
+
+def test_lightest_forest():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        n, m = int(rng.integers(2, 30)), int(rng.integers(1, 80))
+        i, j, d = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 6, m)
+        keep = i != j
+        i, j, d = i[keep], j[keep], d[keep]
+        got = simhash.lightest(n, i, j, d)
+        label, total, taken = list(range(n)), 0, 0
+        for k in np.argsort(d, kind="stable").tolist():
+            a, b = label[i[k]], label[j[k]]
+            if a != b:
+                label = [a if x == b else x for x in label]
+                total, taken = total + d[k], taken + 1
+        assert len(got) == taken and d[got].sum() == total and reach(n, zip(i[got].tolist(), j[got].tolist(), strict=True)) == reach(n, zip(i.tolist(), j.tolist(), strict=True))
 
 
 def vectors_of(spark):
