@@ -18,9 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id. Rows without an id can't be
-    told apart and all stay."""
-    return simhash.one_of_each(docs)
+    """Of each group of texts that share at least 0.8 of their five-word shingles, the document with the smallest id."""
+    return simhash.one_of_each(docs, shingle=5, least=0.8)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
