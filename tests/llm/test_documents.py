@@ -252,6 +252,47 @@ def test_lm_learns_words_beyond_the_most_frequent(spark):
     assert right > 0.75 * base and right > wrong + 5
 
 
+def test_lm_score_of_each_text(docs, rows):
+    """Against loops over the model's matrix, for every text: rare, trained and grouped words, ends, empty and long texts."""
+    texts = docs.select("doc_id", "text")
+    fitted = lm_score.Fitted(texts, 7, 2, 16)
+    m, count = fitted.model, Counter()
+    assert fitted.modelled > 30 and m.groups > 2
+    for i, t in rows:
+        if crc32(b"" if i is None else str(i).encode()) % 7 != 2:
+            count.update([*SPACED.findall(low(t)), None])
+    p, d = m.p.astype(np.float64), m.width
+    first, c = p[m.first : m.second], p[m.c :, :d]
+    logs = {}
+
+    def log_p(x, y, z):
+        if (x, y, z) not in logs:
+            h = np.append(p[x, :d] @ c[:d] + p[y, :d] @ c[d:], 1.0)
+            share = lambda q, k: (q @ h)[k] - np.log(np.exp(q @ h).sum())
+            out = z if z < m.n else m.n + (z - m.n) // m.size
+            found = share(first[m.allowed], int(m.allowed[:out].sum()))
+            if z >= m.n:
+                group = (z - m.n) // m.size * m.size
+                found += share(p[m.second + group : min(m.second + group + m.size, m.c)], z - m.n - group)
+            logs[x, y, z] = found / math.log(10)
+        return logs[x, y, z]
+
+    got = Counter((r.doc_id, r.n_tokens, round(r.score, 2)) for r in lm_score.scores(docs, vocabulary=16).collect())
+    for i, t in rows:
+        words = SPACED.findall(low(t))
+        if len(words) > 3000:
+            continue
+        want, x, y = 0.0, lm_score.BEGIN, lm_score.BEGIN
+        for w in words:
+            z = fitted.table.get(lm_score._key(w.encode()), fitted.modelled)
+            z = z if z < fitted.modelled else lm_score.OTHER
+            want += log_p(x, y, z) + (math.log10(count[w] + 1) - fitted.divided if z == lm_score.OTHER else 0)
+            x, y = y, z
+        want += log_p(x, y, lm_score.END)
+        close = [k for k in got if k[0] == i and k[1] == len(words) + 1 and abs(k[2] - want) < 0.02 + 1e-5 * abs(want)]
+        assert close, (i, want)
+
+
 def test_lm_factored_is_a_distribution():
     rng = np.random.default_rng(1)
     n, ids = 6, 60
