@@ -14,8 +14,8 @@ import numpy as np
 from plumbline.llm.text import coded
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 1, 2, 3, 0, 255
-#: Distinct pre-tokens in each half of a worker's cache.
-CACHE = 250_000
+#: Bytes of distinct pre-tokens and their ids in each half of a worker's cache, with ENTRY_BYTES more for each.
+CACHE_BYTES, ENTRY_BYTES = 24 << 20, 160
 #: The characters by which a byte-level vocabulary writes bytes: printable ones for themselves, the others in
 #: order from 256 on.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -92,13 +92,14 @@ class Encoder:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newer: dict[bytes, int] = {}
         self.older: dict[bytes, int] = {}
+        self.held = 0
         self.pool, self.first, self.size = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def _entries(self, words: list[bytes]) -> np.ndarray:
         """Place of each word in `first` and `size`; words not met lately are encoded. When the newer half of
         the cache is full it becomes the older half, so that words which recur stay."""
-        if len(self.newer) > CACHE:
-            self.older, self.newer = self.newer, {}
+        if self.held > CACHE_BYTES:
+            self.older, self.newer, self.held = self.newer, {}, 0
             kept = np.fromiter(self.older.values(), dtype=np.int64, count=len(self.older))
             first, size = self.first[kept], self.size[kept]
             ends = np.cumsum(size)
@@ -117,6 +118,7 @@ class Encoder:
                     lengths.append(len(found))
                     ids += found
                 newer[word] = at
+                self.held += ENTRY_BYTES + 5 * len(word)
             out.append(at)
         size = np.array(lengths, dtype=np.int64)
         self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(size) - size))
@@ -130,7 +132,8 @@ class Encoder:
         if any(s in text for s in self.special):
             return self._plain(text, at)
         chars = np.frombuffer(text.decode().encode("utf-32-le"), dtype="<u4")
-        begins = np.concatenate((np.flatnonzero((raw & 0xC0) != 0x80), [len(raw)]))
+        places = np.int32 if len(raw) < 1 << 31 else np.int64
+        begins = np.concatenate((np.flatnonzero((raw & 0xC0) != 0x80).astype(places), np.array([len(raw)], places)))
         row_at = np.searchsorted(begins, at)
         start = pre_tokens(chars, row_at, self.table)
         byte = begins[start]

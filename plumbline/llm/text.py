@@ -9,6 +9,7 @@ regular expression on the decoded text.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import tempfile
@@ -22,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one NumPy pass works on; a longer document is one chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -36,7 +39,11 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and row offsets (one more than rows) of a string column; null counts as the empty text."""
+    """UTF-8 bytes and row offsets (one more than rows) of a string column; null counts as the empty text. Called once a
+    batch: what earlier batches left goes back to the system first, as a worker lives on through many stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
     column = pc.fill_null(column.cast(pa.large_string()), "")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)

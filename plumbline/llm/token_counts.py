@@ -24,8 +24,8 @@ from plumbline.llm.text import buffers, chunks, coded, columns
 
 #: Entries of the broadcast table, and of each task's summary; longer pre-tokens are left to the second tier.
 TABLE, SUMMARY, LONGEST = 8192, 4096, 64
-#: Pre-tokens that a worker's cache holds before it starts afresh.
-CACHE = 200_000
+#: Bytes of pre-tokens that a worker's cache holds, with ENTRY_BYTES more for each, before it starts afresh.
+CACHE_BYTES, ENTRY_BYTES = 32 << 20, 130
 
 _MARK = b"\xe2\x96\x81"
 
@@ -131,7 +131,7 @@ def frequent(docs: DataFrame) -> list[bytes]:
 
 def _counter(path: str, table: dict[bytes, int], limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, cache = Pieces(path), {}
+        pieces, cache, held = Pieces(path), {}, 0
         for batch in batches:
             raw, at = buffers(batch.column("text"))
             total = np.zeros(len(at) - 1, dtype=np.int64)
@@ -143,8 +143,9 @@ def _counter(path: str, table: dict[bytes, int], limit: int):
                     cache.update(zip(missed[i : i + 4096], pieces.lengths(missed[i : i + 4096]), strict=True))
                 sizes = np.fromiter((table[w] if w in table else cache[w] for w in words), dtype=np.int64, count=len(words))
                 total[a:b] = lines + np.bincount(row, weights=sizes[codes], minlength=b - a).astype(np.int64)
-                if len(cache) > CACHE:
-                    cache = {}
+                held += sum(ENTRY_BYTES + len(w) for w in missed)
+                if held > CACHE_BYTES:
+                    cache, held = {}, 0
             size = pa.array(np.diff(at))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(total), pa.array(total > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
