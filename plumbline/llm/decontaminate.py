@@ -141,7 +141,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col: str = "
     occurrence of a window, first to last exclusive; `spans` the same as ranges of UTF-8 bytes of the text (lower-casing
     A-Z leaves places as they are); `items` the ids, as strings, of the items with an occurring window.
 
-    An item of fewer words than `window`, but not none, is one window. Null texts have no words; an item with a
+    An item of fewer words than `window`, but not none, is one window. Texts of any length are searched whole, and a longer text than a shard is one of
+    its own; repeated rows are searched one by one; an empty table gives no rows, and an empty benchmark no hits. Null texts have no words; an item with a
     null id marks words, but is not listed. A benchmark of over BLOCK_CHARS characters is searched block by block, each
     against all rows, and rows are put together by a row number, so repeated rows and ids stay apart."""
     texts = columns(docs, (id_col, "doc_id"), (text_col, "text"))
@@ -237,7 +238,8 @@ def _found_batches(names: list[str], most_items: int, text_col: str, count_col:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, most_items: int = 2, text_col: str = "text", count_col: str | None = None, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without contaminated rows (windows of `most_items` items or more), the merged spans of all
     occurrences cut from the texts that stay, a line break in their place; `count_col`, if given, is set to the new
-    number of characters of a text that was cut. All other rows and columns stay as they are."""
+    number of characters of a text that was cut. All other rows and columns stay as they are, null texts, repeated rows and null ids among
+    them; an empty table gives no rows."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").alias("text"))
     if len(_blocks(items)) == 1:
         phrases = Phrases([(r.item, r.text) for r in items.toLocalIterator()], window)

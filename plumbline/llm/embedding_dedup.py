@@ -109,7 +109,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, block: int = BLOCK,
     Vectors are compared if their labels are equal and not null. Null and zero vectors and those with null or
     non-finite components link with nothing, and stand for themselves; so do vectors with a null label, and
     vectors of different lengths among each other. Vectors with equal components are links, whatever rounding makes of their cosine. A repeated
-    id is a vector of its own each time, and counts as such. A null id is never a component of others."""
+    id is a vector of its own each time, and counts as such. A null id is never a component of others. Vectors of any length are compared whole; an empty table gives
+    no rows; other columns are not looked at."""
     rows = written(columns(vectors, (id_col, "vec_id"), (vector_col, "embedding"), (label_col, "label")))
     values = F.transform("embedding", lambda x: x.cast("double"))
     # 0.0 and -0.0 are the same component

@@ -23,16 +23,49 @@ from plumbline.llm.text import ALNUM, Words, buffers, chunks, columns
 #: (phrase, label): the base, wording without markup.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: (label, template)
+#: Wording of the licences. Their full texts as published, and the notices by which works are put under them.
+MIT_TEXT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including "
+    "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the "
+    "following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided "
+    "as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or "
+    "copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings "
+    "in the software"
+)
+BSD_HEAD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] [[a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] [[b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+BSD_THIRD = "[[3]] [[c]] neither the name of [[the]] {1-12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+BSD_TAIL = (
+    "this software is provided by {1-8} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no "
+    "event shall {1-8} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or "
+    "business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if "
+    "advised of the possibility of such damage"
+)
+APACHE_NOTICE = (
+    "licensed under the apache license version 2 0 [[the license]] you may not use this file except in compliance with the license you may obtain a copy of the license at {1-8} unless required by applicable law or "
+    "agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language "
+    "governing permissions and limitations under the license"
+)
+GPL_NOTICE = "[[this {1-3}]] is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version"
+LGPL_NOTICE = "[[this {1-3}]] is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version"
+MPL_NOTICE = "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {1-8}"
+
+#: (label, template). Regions for any words stand for names, years and addresses, and optional ones for list marks and defined terms; all other
+#: wording is mandatory.
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction"),
+    ("mit", MIT_TEXT),
     ("mit", "[[this {1-4}]] [[is]] [[released]] [[licensed]] under the [[terms of the]] mit license"),
+    ("apache-2", APACHE_NOTICE),
     ("apache-2", "licensed under the apache license [[version]] 2 0 [[the license]]"),
     ("apache-2", "licensed under the [[terms of the]] apache license version 2"),
+    ("gpl-3", f"{GPL_NOTICE} 3 of the license"),
     ("gpl-3", "[[this {1-4} is]] licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3"),
-    ("gpl-3", "either version 3 of the license or [[at your option]] any later version"),
+    ("gpl-2", f"{GPL_NOTICE} 2 of the license"),
     ("gpl-2", "[[this {1-4} is]] licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2"),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {0-90} neither the name of {1-12} nor the names of its contributors may be used"),
+    ("lgpl-3", f"{LGPL_NOTICE} 3 of the license"),
+    ("lgpl-2.1", f"{LGPL_NOTICE} 2 1 of the license"),
+    ("mpl-2", MPL_NOTICE),
+    ("bsd-3-clause", f"{BSD_HEAD} {BSD_THIRD} {BSD_TAIL}"),
+    ("bsd-2-clause", f"{BSD_HEAD} {BSD_TAIL}"),
     ("cc-by-nc", "licensed under [[a]] [[the]] cc by nc [[{1-2}]]"),
     ("cc-by-nc", "licensed under [[a]] [[the]] creative commons attribution noncommercial [[{1-2}]] [[international]] license"),
     ("cc-by", "licensed under [[a]] [[the]] creative commons attribution [[{1-2}]] [[international]] license"),
@@ -144,8 +177,10 @@ class Scanner:
         follows = np.concatenate((symbol[1:], [none])) if len(symbol) else symbol
         if len(symbol):
             follows[:-1][words.row[1:] != words.row[:-1]] = none
-        at = np.flatnonzero(symbol)
+        known = np.flatnonzero(symbol)
         for label, automaton, begins, base in self.all:
+            # a template that begins with a region for any word can start at a word that no template has
+            at = np.arange(len(symbol)) if begins[0].any() else known
             for place in at[begins[symbol[at], follows[at]]].tolist():
                 end = min(int(words.word_at[words.row[place] + 1]), place + automaton.longest())
                 if n := automaton.accepts(symbol[place:end].tolist()):
@@ -193,7 +228,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "d
 
     n_base: all places of base phrases; labels: distinct, sorted, comma-joined, the base's among them; score: 1
     where a template's mandatory wording is whole, 0.5 for base phrases alone, else 0; matches: the templates' places.
-    Null and empty texts have no words and empty labels. Repeated rows and null ids are scanned row by row; other
+    Null and empty texts have no words and empty labels; texts of any length are scanned whole; an empty table gives no rows. Repeated rows and null ids are scanned row by row; other
     columns are not looked at."""
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,first:long,words:long>>"
     return columns(docs, (id_col, "doc_id"), (text_col, "text")).mapInArrow(_scan(Scanner(tuple(phrases), tuple(templates))), schema)

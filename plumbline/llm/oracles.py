@@ -62,4 +62,7 @@ FROM l
 
 OP9 = _license_sql()
 
-ORACLES = {"op9_licenses": OP9, "op4_decontamination": OP4, "op8_embedding_dedup": OP8}
+#: What was stored is what is read.
+OP5 = "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents"
+
+ORACLES = {"op5_sharding": OP5, "op9_licenses": OP9, "op4_decontamination": OP4, "op8_embedding_dedup": OP8}

@@ -161,7 +161,7 @@ def _plan(histogram: list[tuple[int, int]], capacity: int) -> list[tuple[int, in
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for every piece of every row.
 
-    A null or empty text is the end id alone. Repeated rows and null ids are packed row by row; other columns
+    A null or empty text is the end id alone; a text of any length is encoded whole and cut into full sequences and a rest. Repeated rows and null ids are packed row by row; other columns
     are not looked at. An empty table gives no rows. capacity: a multiple of CLASS."""
     if capacity % CLASS:
         raise ValueError(f"capacity must be a multiple of {CLASS}")

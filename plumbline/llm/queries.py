@@ -31,16 +31,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents appended, compacted and read back: where each lies, and what it holds.
-    (doc_id, n_bytes, text_sha256, shard, shard_bytes, version)"""
+    """All documents appended as small shards, compacted, and read back from the last version: every column, the text as its size and digest."""
     store = sharding.ShardStore(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
     store.append(table(spark, sf_dir, "documents"))
     version = store.compact()
     store.vacuum()
-    # a row for each file of the store
-    shards = spark.createDataFrame([(s["path"], i, s["bytes"]) for i, s in enumerate(store.manifest(version))], "_shard string, shard long, shard_bytes long")
-    rows = store.read(version).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "_shard")
-    return rows.join(shards, "_shard").select("doc_id", "n_bytes", "text_sha256", "shard", "shard_bytes", F.lit(version).cast("long").alias("version"))
+    return store.read(version).select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

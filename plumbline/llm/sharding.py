@@ -20,6 +20,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TARGET_BYTES = 128 << 20
 #: Shards of a tier that are worth a merge, and how much larger a tier's shards are than those of the tier below.
@@ -27,6 +28,8 @@ FANIN = 4
 SMALL_BYTES = 1 << 20
 #: Rows of an arrival's shard, at most.
 SMALL_ROWS = 5_000
+#: Columns that `read` adds.
+SHARD, SHARD_SIZE = "_shard", "_shard_bytes"
 
 
 class Conflict(RuntimeError):
@@ -83,17 +86,20 @@ class ShardStore:
     # shards
 
     def _write(self, df: DataFrame) -> list[dict]:
+        if SHARD in df.columns:
+            raise ValueError(f"column {SHARD!r} is the store's own")
         folder = f"data/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").option("maxRecordsPerFile", self.small_rows if self.small_rows else 0).parquet(f"{self.root}/{folder}")
-        return self._listed(folder)
+        return self._listed(folder, df.schema.json())
 
-    def _listed(self, folder: str) -> list[dict]:
+    def _listed(self, folder: str, schema: str) -> list[dict]:
         files = self.fs.listStatus(self._path(folder))
-        return [{"path": f"{folder}/{s.getPath().getName()}", "bytes": s.getLen()} for s in files if s.getPath().getName().endswith(".parquet")]
+        return [{"path": f"{folder}/{s.getPath().getName()}", "bytes": s.getLen(), "schema": schema} for s in files if s.getPath().getName().endswith(".parquet")]
 
     def append(self, df: DataFrame) -> int:
-        """Adds the rows of df as small shards; returns the version. Rows are kept as they are: nulls, repeated rows, any
-        columns. An empty df adds one shard without rows, which holds the schema."""
+        """Adds the rows of df as small shards; returns the version. Rows are kept as they are: nulls, repeated rows, texts of any length, any
+        columns but one of the name SHARD. Each shard's schema is in the manifest, so arrivals may differ in columns; of shards that lack a column it
+        is null. An empty df adds one shard without rows, which holds the schema."""
         base = self.version()
         return self.commit([*self.manifest(base), *self._write(df)], base)
 
@@ -102,25 +108,39 @@ class ShardStore:
         return max(0, math.floor(math.log(max(bytes_, 1) / SMALL_BYTES, self.fanin))) if bytes_ >= SMALL_BYTES else 0
 
     def due(self, shards: list[dict]) -> list[list[dict]]:
-        """Groups of shards of one tier, below half the target, that are to be merged."""
-        tiers: dict[int, list[dict]] = {}
+        """Groups of shards of one tier and schema, below half the target, that are to be merged."""
+        tiers: dict[tuple[int, str], list[dict]] = {}
         for s in shards:
             if 2 * s["bytes"] < self.target:
-                tiers.setdefault(self.tier(s["bytes"]), []).append(s)
+                tiers.setdefault((self.tier(s["bytes"]), s["schema"]), []).append(s)
         return [group for _, group in sorted(tiers.items()) if len(group) >= self.fanin]
 
     def compact(self) -> int:
-        """Merges until no tier is due; every round is a version of its own. Returns the last version."""
+        """Merges until no tier is due; every round is a version of its own. Returns the last version. A group that the scan can't pack into
+        fewer files stays as it was. If another writer commits first, its shards are taken in and the round's merges kept."""
         base = self.version()
-        shards = self.manifest(base)
-        while groups := self.due(shards):
-            before = len(shards)
+        shards, settled = self.manifest(base), set()
+        while groups := [g for g in self.due(shards) if frozenset(s["path"] for s in g) not in settled]:
+            merged = []
             for group in groups:
-                gone = {s["path"] for s in group}
-                shards = [s for s in shards if s["path"] not in gone] + self._merge(group)
-            base = self.commit(shards, base)
-            if len(shards) >= before:  # as many files as before: the scan packs no tighter than this
-                break
+                made = self._merge(group)
+                if len(made) < len(group):
+                    merged.append(({s["path"] for s in group}, made))
+                else:
+                    settled.add(frozenset(s["path"] for s in group))
+            while merged:
+                live = {s["path"] for s in shards}
+                fit = [(gone, made) for gone, made in merged if gone <= live]
+                lost = set().union(*(gone for gone, _ in fit)) if fit else set()
+                after = [s for s in shards if s["path"] not in lost] + [s for _, made in fit for s in made]
+                if not fit:
+                    break
+                try:
+                    base, shards = self.commit(after, base), after
+                    break
+                except Conflict:
+                    base = self.version()
+                    shards = self.manifest(base)
         return base
 
     def _merge(self, group: list[dict]) -> list[dict]:
@@ -129,8 +149,10 @@ class ShardStore:
             session.conf.set(f"spark.sql.files.{key}", str(value))
         paths = [f"{self.root}/{s['path']}" for s in group]
         folder = f"data/{uuid.uuid4().hex}"
-        session.read.parquet(*paths).write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(f"{self.root}/{folder}")
-        return self._listed(folder)
+        schema = group[0]["schema"]
+        rows = session.read.schema(StructType.fromJson(json.loads(schema))).parquet(*paths)
+        rows.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(f"{self.root}/{folder}")
+        return self._listed(folder, schema)
 
     def vacuum(self, versions: int = 1) -> None:
         """Deletes data that the last `versions` versions don't list. Not while another writer is at work."""
@@ -147,9 +169,21 @@ class ShardStore:
                     self.fs.delete(f.getPath(), False)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the shard's path under the root as the column _shard."""
+        """The rows of a version, with the shard's path under the root as the column SHARD and its size as SHARD_SIZE. Columns are those of all
+        shards; where one type of a column can't hold the others', it raises TypeError."""
         shards = self.manifest(version)
         if not shards:
             raise FileNotFoundError(f"no version in {self.root}")
-        df = self.spark.read.parquet(*[f"{self.root}/{s['path']}" for s in shards])
-        return df.select("*", F.regexp_extract(F.col("_metadata.file_path"), "data/[^/]*/[^/]*$", 0).alias("_shard"))
+        parts: dict[str, list[str]] = {}
+        for s in shards:
+            parts.setdefault(s["schema"], []).append(f"{self.root}/{s['path']}")
+        whole = None
+        for schema, paths in sorted(parts.items()):
+            df = self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*paths)
+            meta = df.metadataColumn("_metadata")
+            df = df.select("*", F.regexp_extract(meta["file_path"], "data/[^/]*/[^/]*$", 0).alias(SHARD), meta["file_size"].alias(SHARD_SIZE))
+            kinds = {f.name: f.dataType for f in df.schema}
+            if whole is not None and any(kinds.get(f.name, f.dataType) != f.dataType for f in whole.schema):
+                raise TypeError("shards hold a column in different types")
+            whole = df if whole is None else whole.unionByName(df, allowMissingColumns=True)
+        return whole

@@ -253,7 +253,8 @@ def near_duplicates(docs: DataFrame, most: int = 2, id_col: str = "doc_id", text
 
     Null texts and texts without words have fingerprint zero and link like any other. Rows repeated with one
     id are repeated in the result. A null id is kept; it never becomes a component id unless its whole
-    component has none. Other columns of docs are not looked at."""
+    component has none, but its fingerprint links others. Texts of any length are taken whole, an empty table gives no rows, and other
+    columns of docs are not looked at."""
     prints = written(fingerprints(docs, id_col, text_col))
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")))
     by_fp = components(links(distinct.select("fp", F.col("fp").alias("rep")), most, group_rows))

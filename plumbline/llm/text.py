@@ -9,9 +9,11 @@ regular expression on the decoded text.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import math
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -108,16 +110,18 @@ def crc_of_id(ids: pa.Array) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the one set on the context; with neither,
-    a temporary one in a local session (tests), and a folder of the warehouse on a cluster."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the one set on the context; with neither, a
+    temporary one in a local session (tests). On a cluster one of the two must be set: any other folder may be a machine's own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not path:
         found = context._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
-        local = context.master.split("[")[0] == "local"
-        path = tempfile.mkdtemp(prefix="plumbline-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/plumbline"
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        path = tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(path)
     return path

@@ -156,7 +156,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     """(doc_id, n_bytes, n_tokens, over_limit) for every row; over_limit: more than `limit` tokens.
 
     model_path: a sentencepiece model, which every worker can read at that path. Null and empty texts have no
-    bytes and no tokens. Repeated rows and null ids are counted row by row; other columns are not looked at."""
+    bytes and no tokens; texts of any length are counted whole; an empty table gives no rows. Repeated rows and null ids are counted row by row; other columns are not looked at."""
     texts = columns(docs, (id_col, "doc_id"), (text_col, "text"))
     words = frequent(texts.select("text"))
     table = dict(zip(words, Pieces(model_path).lengths(words), strict=True))

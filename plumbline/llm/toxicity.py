@@ -168,13 +168,15 @@ def _feature_batches(lexicon: Lexicon):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int = 5) -> Model:
     """docs: (doc_id, text); labels: (doc_id, toxic). Learns from labelled rows whose crc32 of the id as text is
     not divisible by `fold`; of several labels of an id the majority counts, a tie as toxic; null labels and ids
-    are left out. At most `sample` ids are fitted on."""
+    are left out. At most `sample` ids, and as many rows, are fitted on."""
     number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     ids = ids.where(number % fold != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10))
     # `sample` rows of two numbers: a bounded side
-    texts = written(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic", part.cast("int").alias("part")))
+    texts = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic", part.cast("int").alias("part"))
+    # an id may be repeated: rows are as bounded as ids
+    texts = written(texts.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(sample))
     share = texts.agg((F.sum("toxic") + 0.5) / (F.count(F.lit(1)) + 1)).first()[0]
     share = 0.0 if share is None else float(share)
     total = texts.where("part < 5").agg(F.sum("toxic"), F.count(F.lit(1))).first()
@@ -215,7 +217,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int =
     """(doc_id, held_out, score, predicted) for every row of docs; held_out: the id's crc32 is divisible by `fold`.
 
     Scores depend on the text alone: null and empty texts get that of a text without words. A null id is held
-    out (its crc32 counts as 0). Repeated rows are scored one by one, other columns are not looked at, and an empty table gives no rows."""
+    out (its crc32 counts as 0). Texts of any length are scored whole.
+    Repeated rows are scored one by one, other columns are not looked at, and an empty table gives no rows."""
     texts = columns(docs, (id_col, "doc_id"), (text_col, "text"))
     model = fit(texts, labels.select("doc_id", "toxic"), sample, fold)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % fold == 0
@@ -233,6 +236,7 @@ def _keep_batches(model: Model, text_col: str):
 
 
 def clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, unchanged, whose score is below a half."""
+    """The rows of docs, unchanged, whose score is below a half. Null and empty texts have the score of a text without words; repeated
+    rows and null ids are judged row by row; an empty table gives no rows."""
     texts = columns(docs, (id_col, "doc_id"), (text_col, "text"))
     return docs.mapInArrow(_keep_batches(fit(texts, labels.select("doc_id", "toxic"), sample, fold), text_col), docs.schema)

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import columns
+from plumbline.llm.text import columns, written
 
 ORDER = 5
 #: Labelled URLs of each class that are fitted and calibrated on, those with the lowest hash, each whole.
 SAMPLE = 4000
+#: Parts that the examples are dealt to for calibration.
+FOLDS = 3
 
 #: (verdict, rule): a rule is a host, then the beginning of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -42,7 +44,7 @@ def path_of(url: F.Column) -> F.Column:
 def rule_of(host: F.Column, path: F.Column, rules: tuple[tuple[str, str], ...]) -> tuple[F.Column, F.Column]:
     """The longest rule that fits and its verdict, both null if none does; of two alike the first."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for said, text in sorted(rules, key=lambda r: len(r[1])):
+    for said, text in sorted(reversed(rules), key=lambda r: len(r[1])):
         domain, _, start = text.partition("/")
         fits = ((host == domain) | host.endswith("." + domain)) & path.startswith("/" + start)
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(said)).otherwise(verdict)
@@ -85,16 +87,17 @@ class Judge:
         self.threshold = self.slope = 0.0
         if self.only:
             return
-        # every fourth example is held back for calibration; with fewer than eight of a class all serve for both
-        parts = [(x, x) if len(x) < 8 else ([u for i, u in enumerate(x) if i % 4], x[::4]) for x in (accepted, rejected)]
-        self.good, self.bad = (Markov(fit, order) for fit, _ in parts)
-        held = sorted([(self.score(u), 1) for u in parts[0][1]] + [(self.score(u), 0) for u in parts[1][1]])
-        self._calibrate(held)
+        # every example is scored by models that were fitted on the other folds; those that judge see all examples
+        held = []
+        for fold in range(FOLDS):
+            good, bad = (Markov([u for i, u in enumerate(x) if i % FOLDS != fold], order) for x in (accepted, rejected))
+            held += [(difference(good, bad, u), y) for x, y in ((accepted, 1), (rejected, 0)) for u in x[fold::FOLDS]]
+        self.good, self.bad = Markov(accepted, order), Markov(rejected, order)
+        self._calibrate(sorted(held))
 
     def score(self, url: str | None) -> float:
         """Log-likelihood of accepted less that of rejected, for each character; null is the empty URL."""
-        url = url or ""
-        return 0.0 if self.only else (self.good.log_likelihood(url) - self.bad.log_likelihood(url)) / (len(url) + 1)
+        return 0.0 if self.only else difference(self.good, self.bad, url or "")
 
     def _calibrate(self, held: list[tuple[float, int]]) -> None:
         """The threshold with the least balanced error, in the middle of its gap; then a logistic slope about it."""
@@ -115,21 +118,27 @@ class Judge:
             self.slope = min(1000.0, max(0.0, self.slope + gradient / (curve + 1e-9 + 1e-3)))
 
     def verdict(self, url: str | None) -> str:
-        return self.only or ("allow" if self.score(url) >= self.threshold else "block")
+        return self.said(self.score(url))[0]
 
-    def probability(self, url: str | None) -> float:
+    def said(self, score: float) -> tuple[str, float]:
+        """Verdict and probability of being accepted for a score."""
         if self.only:
-            return float(self.only == "allow")
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.slope * (self.score(url) - self.threshold)))))
+            return self.only, float(self.only == "allow")
+        return "allow" if score >= self.threshold else "block", 1 / (1 + math.exp(-max(-700.0, min(700.0, self.slope * (score - self.threshold)))))
+
+
+def difference(good: Markov, bad: Markov, url: str) -> float:
+    return (good.log_likelihood(url) - bad.log_likelihood(url)) / (len(url) + 1)
 
 
 def _judged(judge: Judge):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls = batch.column("url").to_pylist()
-            said = [r or judge.verdict(u) for u, r in zip(urls, batch.column("ruled").to_pylist(), strict=True)]
+            scores = [judge.score(u) for u in batch.column("url").to_pylist()]
+            said = [judge.said(s) for s in scores]
+            verdicts = [r or v for (v, _), r in zip(said, batch.column("ruled").to_pylist(), strict=True)]
             names = ["page_id", "host", "path", "rule"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(said, pa.string()), pa.array([judge.score(u) for u in urls], pa.float64()), pa.array([judge.probability(u) for u in urls], pa.float64())], names=[*names, "verdict", "score", "probability"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64()), pa.array([p for _, p in said], pa.float64())], names=[*names, "verdict", "score", "probability"])
 
     return run
 
@@ -139,12 +148,13 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sa
 
     rule: the longest rule that fits, else null; verdict: its verdict, else that of the models. Null URLs and
     those without :// have an empty host and path and are judged by the models (null as the empty URL). The models are fitted on at most
-    `sample` distinct labelled URLs of each class, those of the lowest hash. Without any, see Judge."""
+    `sample` distinct labelled URLs of each class, those of the lowest hash. Without any, see Judge. URLs of any length are fitted and scored
+    whole. Repeated rows are judged row by row; an empty table gives no rows; columns other than the two named are not looked at."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     seen = columns(pages, (id_col, "page_id"), (url_col, "url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     seen = seen.select("*", rule.alias("rule"), ruled.alias("ruled"))
-    known = seen.where("ruled IS NOT NULL").select("url", "ruled").distinct()
+    known = written(seen.where("ruled IS NOT NULL").select("url", "ruled").distinct())
 
     def examples(said: str) -> list[str]:
         return [r.url for r in known.where(F.col("ruled") == said).orderBy(F.xxhash64("url"), "url").limit(sample).collect()]

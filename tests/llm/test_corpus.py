@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -60,24 +61,65 @@ def test_url_models_tell_classes_apart():
     assert url_filter.Judge([], []).verdict(None) == "allow" and url_filter.Judge([], bad).verdict("x") == "block" and url_filter.Judge(good[:3], bad[:3]).verdict(good[9]) == "allow"
 
 
-def test_markov_is_a_distribution():
-    import math
-
-    model = url_filter.Markov(["abcab", "abd", "xyz"])
-    letters = "abcdxyz\n"
-    for context in ("", "a", "ab", "zz", "cab"):
-        seen = [math.exp(model.log_likelihood(context + c) - model.log_likelihood(context)) for c in ()]
-        assert not seen
-        p = []
-        for c in letters:
-            q = 1 / 256
-            for k in range(min(model.order, len(context)) + 1):
-                follow = model.next.get(context[len(context) - k :])
-                if follow is None:
-                    break
-                q = (follow.get(c, 0) + len(follow) * q) / (sum(follow.values()) + len(follow))
-            p.append(q)
-        assert sum(p) <= 1 + 1e-9 and sum(p) > 0.03
+def brute_log(urls, url, order):
+    """Witten-Bell from the raw texts: at each place the mixture over its contexts, the shortest first."""
+    texts, whole, total = [u + "\n" for u in urls], url + "\n", 0.0
+    for i, c in enumerate(whole):
+        p = 1 / 256
+        for k in range(min(order, i) + 1):
+            context = whole[i - k : i]
+            followers = [t[j + k] for t in texts for j in range(len(t) - k) if t.startswith(context, j)]
+            if not followers:
+                break
+            kinds = len(set(followers))
+            p = (followers.count(c) + kinds * p) / (len(followers) + kinds)
+        total += np.log(p)
+    return total
+
+
+def test_markov_against_raw_texts():
+    rng = random.Random(9)
+    urls = ["http://" + "".join(rng.choice("ab/.é") for _ in range(rng.randint(0, 25))) for _ in range(25)]
+    for order in (0, 2, 5):
+        model = url_filter.Markov(urls, order)
+        for url in [*urls[:4], "", "http://ab", "zzz", "http://ab\nab", "a" * 60]:
+            assert model.log_likelihood(url) == pytest.approx(brute_log(urls, url, order), rel=1e-9)
+    # after any context, the characters of the texts and the others of 256 add up to one
+    letters = sorted({c for u in urls for c in u})
+    for context in ("", "h", "http://", "ab", "q"):
+        after = lambda c: np.exp(brute_log(urls, context + c, 3) - last(urls, context + c, 3) - brute_log(urls, context, 3) + last(urls, context, 3))  # noqa: B023, E731
+        ends = np.exp(last(urls, context, 3))
+        assert sum(map(after, letters)) + ends + (255 - len(letters)) * after("\u4e00") == pytest.approx(1)
+
+
+def last(urls, text, order):
+    """Log probability of the end after a text."""
+    return url_filter.Markov(urls, order).log_likelihood(text) - sum(step(urls, text, i, order) for i in range(len(text)))
+
+
+def step(urls, text, i, order):
+    p, texts = 1 / 256, [u + "\n" for u in urls]
+    for k in range(min(order, i) + 1):
+        context = text[i - k : i]
+        followers = [t[j + k] for t in texts for j in range(len(t) - k) if t.startswith(context, j)]
+        if not followers:
+            break
+        p = (followers.count(text[i]) + len(set(followers)) * p) / (len(followers) + len(set(followers)))
+    return np.log(p)
+
+
+def test_calibration_is_on_unseen_urls():
+    """Each example is scored by models that never saw it: with noise for labels, no threshold looks good."""
+    rng = random.Random(1)
+    noise = ["http://" + "".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(300)]
+    judge = url_filter.Judge(noise[:150], noise[150:])
+    fresh = ["http://" + "".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(100)]
+    assert judge.slope < 40 and all(0.02 < judge.said(judge.score(u))[1] < 0.98 for u in fresh)
+
+
+def test_of_rules_alike_the_first_wins(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x/")], "page_id long, url string")
+    assert url_filter.filter_urls(pages, (("allow", "org/x/"), ("block", "org/x/"))).first().verdict == "allow"
 
 
 def test_no_pages(spark):
@@ -131,6 +173,55 @@ def test_commit_is_atomic(spark, docs, tmp_path):
     assert store.version() == 2 and store.read().count() == 5
 
 
+def test_shards_of_other_columns(spark, docs, tmp_path):
+    """Arrivals with columns more or fewer keep them, whatever is merged and thrown away."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target=1 << 20, fanin=2, small_rows=10)
+    plain = docs.select("doc_id", "text").limit(60).cache()
+    store.append(plain)
+    store.append(plain.selectExpr("doc_id", "text", "doc_id * 2 AS twice"))
+    store.append(plain.selectExpr("doc_id AS other").limit(30))
+    store.compact()
+    store.vacuum()
+    got = store.read()
+    assert set(got.columns) == {"doc_id", "text", "twice", "other", "_shard", "_shard_bytes"}
+    assert got.where("twice IS NOT NULL").count() == plain.where("doc_id IS NOT NULL").count() and got.where("other IS NOT NULL").count() > 25 and got.count() == 150
+    assert got.where("twice <> doc_id * 2").count() == 0 and got.where("_shard_bytes IS NULL OR _shard = ''").count() == 0
+    with pytest.raises(ValueError):
+        store.append(plain.selectExpr("doc_id AS _shard"))
+    store.append(plain.selectExpr("CAST(doc_id AS string) AS doc_id"))
+    with pytest.raises(TypeError):
+        store.read()
+
+
+def test_compaction_takes_in_what_others_commit(spark, docs, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target=1 << 20, fanin=2, small_rows=10)
+    rows = docs.limit(50).cache()
+    store.append(rows)
+    merge, calls = store._merge, []
+
+    def slow(group):
+        made = merge(group)
+        if not calls:
+            calls.append(sharding.ShardStore(spark, f"file://{tmp_path}/s").append(rows.limit(7)))
+        return made
+
+    monkeypatch.setattr(store, "_merge", slow)
+    last = store.compact()
+    assert calls and last > calls[0] and store.read(last).count() == rows.count() + 7
+
+
+def test_sharding_query(spark):
+    import duckdb
+
+    from plumbline.llm.queries import ORACLES, op5_sharding
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS FROM '/root/testdata/sf0.001/documents.parquet'")
+    names = ("doc_id", "lang", "source", "n_chars", "n_bytes", "text_sha256")
+    want = sorted(con.sql(ORACLES["op5_sharding"]).select(*names).fetchall())
+    assert sorted(tuple(r) for r in op5_sharding(spark, "/root/testdata/sf0.001").select(*names).collect()) == want
+
+
 def test_shards_of_nothing(spark, nothing, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
     assert store.append(nothing) == 1 and store.compact() == 1 and store.read().count() == 0
@@ -243,6 +334,53 @@ def test_toxicity_features():
     assert near[1] > 0 and near[2] == 0 and near[8] == 0 and near[5] > 0 and spelled[6] > 0 and spelled[7] == 0
 
 
+def test_toxicity_features_one_by_one():
+    """Every feature of odd texts against a plain reading of its definition."""
+    lexicon = toxicity.Lexicon({b"idiot": 3.0, b"kack": 2.0, b"dumm ": 1.8, b"vile": 2.5})
+    texts = ["", "YOU idiot! you IDIOT?", "1d10t k*ck you", "dummkopf and dumm", "v i l e words", "quiet text of no harm", "idiot a b c d e f you", "idiot a b c you", "*vile* @idiot", "ÄRGER you! über"]
+    raw, at = buffers(pa.array(texts))
+    got = lexicon.features(raw, at)
+    for t, row in zip(texts, got, strict=True):
+        data = t.encode()
+        words = re.findall(rb"[0-9a-z\x80-\xff$*@]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), data))
+        cased = re.findall(rb"[0-9A-Za-z\x80-\xff$*@]+", data)
+        n, size = max(len(words), 1), max(len(data), 1)
+        entries = [lexicon.entry(w) for w in words]
+        strong = [max(e[0], 0.5 * e[1], e[2]) for e in entries]
+        you = [w.strip(b"*@$") in toxicity._SECOND for w in words]
+        near = sum(s > 0 and any(you[max(0, i - 5) : i + 6]) for i, s in enumerate(strong))
+        capital, letters = sum(65 <= b <= 90 for b in data), max(sum(chr(b).isalpha() for b in data if b < 128), 1)
+        loud = sum(sum(65 <= b <= 90 for b in w) >= 2 and len(w) >= 3 for w in cased)
+        spelled = sum(len(a) == 1 and len(b) == 1 for a, b in zip(words, words[1:], strict=False))
+        hits, starts, hidden = (sum(e[k] > 0 for e in entries) for k in (0, 1, 2))
+        want = [
+            hits / n, sum(e[0] for e in entries) / n, starts / n, sum(e[1] for e in entries) / n, hidden / n, min(hits, 20), min(starts, 20), min(hidden, 20), max([0.0, *strong]),
+            near / n, sum(you) / n, capital / letters, loud / n, data.count(b"!") / size, data.count(b"?") / size, sum(e[4] for e in entries) / n, spelled / n, np.log1p(len(words)),
+        ]
+        assert row == pytest.approx(want), t
+    assert lexicon.entry(b"1d10t")[2] == 3.0 and lexicon.entry(b"k*ck")[2] == 2.0 and lexicon.entry(b"dummkopf")[1] == 1.8 and lexicon.entry(b"you")[3] == 1.0
+
+
+def test_toxicity_sample_is_bounded_in_rows(spark, monkeypatch):
+    texts = spark.createDataFrame([(k % 4 + 1, f"text {k}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "written", lambda df: seen.append(df.count()) or df)
+    toxicity.fit(texts, labels, sample=50)
+    assert seen[0] == 50
+
+
+@pytest.mark.parametrize("name", ["op1_url_filter", "op2_simhash", "op3_token_counts", "op4_decontamination", "op6_packing", "op7_toxicity", "op9_licenses", "op10_lm_score"])
+def test_queries_give_a_row_for_each_row(spark, name):
+    from plumbline.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    key, source = ("page_id", "pages") if name == "op1_url_filter" else ("doc_id", "documents")
+    rows = [r[0] for r in spark.read.parquet(f"{sf}/{source}.parquet").select(key).collect()]
+    got = [r[0] for r in QUERIES[name](spark, sf).select(key).collect()]
+    assert (set(got) if name == "op6_packing" else sorted(got)) == (set(rows) if name == "op6_packing" else sorted(rows))
+
+
 def test_toxicity_on_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet").repartition(4), spark.read.parquet(f"{sf}/labels.parquet")

@@ -175,6 +175,24 @@ def test_license_templates_in_texts(spark):
     assert got[:5] == ["gpl-3", "all-rights-reserved", "", "all-rights-reserved", ""]
 
 
+def test_templates_that_begin_with_any_words(spark):
+    docs = spark.createDataFrame([(1, "unknown foo bar"), (2, "foo bar"), (3, "x y z w foo bar"), (4, "foo x foo bar")], "doc_id long, text string")
+    got = {r.doc_id: [(m["first"], m["words"]) for m in r.matches] for r in licenses.scan(docs, (), (("l", "{1-3} foo bar"),)).collect()}
+    assert got == {1: [(0, 3)], 2: [], 3: [(1, 5), (2, 4), (3, 3)], 4: [(0, 4), (1, 3)]}
+
+
+def test_licence_texts_are_matched_whole(spark):
+    plain = lambda t: re.sub(r"\[\[|\]\]", " ", re.sub(r"\{\d+-\d+\}", "Jane Doe", t))
+    texts = {"mit": licenses.MIT_TEXT, "bsd-3-clause": f"{licenses.BSD_HEAD} {licenses.BSD_THIRD} {licenses.BSD_TAIL}", "bsd-2-clause": f"{licenses.BSD_HEAD} {licenses.BSD_TAIL}", "mpl-2": licenses.MPL_NOTICE, "gpl-3": f"{licenses.GPL_NOTICE} 3 of the license", "lgpl-2.1": f"{licenses.LGPL_NOTICE} 2.1 of the license"}
+    rows = [(k, f"Copyright (c) 2020. {plain(t)}. The end") for k, t in enumerate(texts.values())]
+    # a condition more or less is another licence
+    clause = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement. "
+    rows += [(10, plain(licenses.BSD_HEAD) + clause + plain(licenses.BSD_THIRD) + plain(licenses.BSD_TAIL)), (11, plain(licenses.MIT_TEXT)[:200]), (12, plain(licenses.MIT_TEXT).replace("sublicense", "lease"))]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == [{label} for label in texts]
+    assert got[10] == got[11] == got[12] == {""}
+
+
 def test_refused_templates():
     for bad in ("[[a]]", "[[a b", "{0-3}"):
         with pytest.raises((ValueError, IndexError)):
