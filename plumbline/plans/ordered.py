@@ -25,6 +25,8 @@ class Plan:
     types: tuple[ColumnType, ...]
     #: pending sort keys, the first counts most: hidden column, ascending
     keys: tuple[tuple[str, bool], ...] = ()
+    #: partitions, and rows in them, are in the order of ORD: true of scans and sorts, not of groups
+    in_order: bool = False
 
     def column(self, i: int) -> Column:
         return F.col(f"c{i}")
@@ -55,14 +57,19 @@ class Plan:
             return self
         visible = [f"c{i}" for i in range(len(self.names))]
         df = self.df.orderBy(*self.order()).select(*visible, F.monotonically_increasing_id().alias(ORD))
-        return replace(self, df=df, keys=())
+        return replace(self, df=df, keys=(), in_order=True)
+
+    def rows(self) -> DataFrame:
+        """All columns, rows in order. Where they are in order already, nothing is sorted."""
+        return self.df if self.in_order and not self.keys else self.df.orderBy(*self.order())
 
     def ordered(self) -> DataFrame:
         """The visible columns, rows in order."""
-        return self.df.orderBy(*self.order()).select(*[f"c{i}" for i in range(len(self.names))])
+        return self.rows().select(*[f"c{i}" for i in range(len(self.names))])
 
     def first(self, n: int) -> DataFrame:
-        return self.df.orderBy(*self.order()).limit(n).select(*[f"c{i}" for i in range(len(self.names))])
+        """The first n rows: of a scan, just the partitions that hold them are read; of pending sort keys, a top-k."""
+        return self.rows().limit(n).select(*[f"c{i}" for i in range(len(self.names))])
 
     def renamed(self) -> DataFrame:
         """The visible columns under their display names, in no order."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,16 +20,16 @@ from plumbline.types import ColumnType
 BOM = b"\xef\xbb\xbf"
 
 
-def read(spark: SparkSession, path: str | os.PathLike[str], delimiter: str = ",") -> Plan:
+def read(spark: SparkSession, path: str | os.PathLike[str], delimiter: str = ",", types: Sequence[ColumnType] | None = None) -> Plan:
     """The table in one file. The grammar and the types are checked here and now, in two jobs; the rows are read when
-    they are used."""
+    they are used. types: asked for instead of those that the cells would have."""
     mark = delimiter_byte(delimiter)
     peek = Peek(spark, path)
     source = os.fsdecode(os.fspath(path))
-    return _split(spark, peek, delimiter, source) or _scanned(spark, peek, mark, source)
+    return _split(spark, peek, delimiter, source, types) or _scanned(spark, peek, mark, source, types)
 
 
-def _split(spark: SparkSession, peek: Peek, delimiter: str, source: str) -> Plan | None:
+def _split(spark: SparkSession, peek: Peek, delimiter: str, source: str, asked: Sequence[ColumnType] | None) -> Plan | None:
     """The fast path over a splittable line scan; None if there is a quote, or a CR at the end."""
     # ORD right on the scan, where it rises with the place in the file; lines end at LF only
     lines = spark.read.text(peek.uri, lineSep="\n").select("value", F.monotonically_increasing_id().alias(ORD))
@@ -37,7 +37,7 @@ def _split(spark: SparkSession, peek: Peek, delimiter: str, source: str) -> Plan
         return None
     line = F.when(F.endswith("value", F.lit("\r")), F.left("value", F.length("value") - 1)).otherwise(F.col("value"))
     lines = lines.select(line.alias("value"), ORD).where("value <> ''")
-    first = lines.head()
+    first = lines.select("value", ORD, F.expr("is_valid_utf8(value)").alias("valid")).head()
     if first is None:
         raise parse_error("no_header", source)
     if '"' in first.value:
@@ -59,14 +59,23 @@ def _split(spark: SparkSession, peek: Peek, delimiter: str, source: str) -> Plan
         return None
     if checks["ragged"]:
         raise parse_error("ragged", source)
-    if not checks["valid"] or not _valid(first.value):
+    if not checks["valid"] or not first.valid:
         raise UnicodeDecodeError("utf-8", b"", 0, 1, f"invalid bytes in {source}")
-    types = tuple(ColumnType(checks[f"t{i}"]) for i in range(width))
-    return Plan(split.select(*_typed(lambda i: F.col("cells")[i], types), ORD), tuple(header), types)
+    types = _types([checks[f"t{i}"] for i in range(width)], asked, tuple(header))
+    return Plan(split.select(*_typed(lambda i: F.col("cells")[i], types), ORD), tuple(header), types, in_order=True)
 
 
-def _valid(text: str) -> bool:
-    return "�" not in text
+def _types(inferred: list[int], asked: Sequence[ColumnType] | None, names: tuple[str, ...]) -> tuple[ColumnType, ...]:
+    """The columns' types. One that is asked for must hold all cells: integers go as floats, and anything as text."""
+    found = tuple(map(ColumnType, inferred))
+    if asked is None:
+        return found
+    if len(asked) != len(found):
+        raise ValueError(f"{len(asked)} types for {len(found)} columns")
+    for name, kind, wish in zip(names, found, asked, strict=True):
+        if kind > wish:
+            raise ValueError(f"column {name!r} has cells that are no {wish}")
+    return tuple(map(ColumnType, asked))
 
 
 def _typed(cell, types: tuple[ColumnType, ...]) -> list[Column]:
@@ -85,10 +94,10 @@ class _Split:
             yield n, BOM + line if self.bom and n == 0 else line
 
     def summary(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(start of the split, and for either start: the record that is open at its end, -1 if none is, null if it
-        is the one that was open at its start)."""
+        """(start of the split, for either start: the record that is open at its end, -1 if none is, null if it is the one that
+        was open at its start; and the number of the last line)."""
         now: list[tuple[bool, int | None]] = [(False, -1), (True, None)]
-        start = None
+        start = n = None
         for batch in batches:
             if start is None and batch.num_rows:
                 start = batch.column("split")[0].as_py()
@@ -96,8 +105,8 @@ class _Split:
                 if b'"' in line:
                     now = [(after, (-1 if not after else at if inside else n)) for inside, at in now for after in (ends_open(inside, line, self.mark),)]
         if start is not None:
-            columns = [pa.array([start], pa.int64()), *(pa.array([at], pa.int64()) for _, at in now)]
-            yield pa.RecordBatch.from_arrays(columns, names=["split", "plain", "quoted"])
+            columns = [pa.array([start], pa.int64()), *(pa.array([at], pa.int64()) for _, at in now), pa.array([n], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["split", "plain", "quoted", "last"])
 
     def records(self, opened: dict[int, int]):
         """Rows of records that lie in one split, numbered by their first line, and the lines of those that don't, with
@@ -178,27 +187,36 @@ class _Rows:
 _ROWS = f"{ORD} long, cells array<string>, error string, line long, piece binary"
 
 
-def _scanned(spark: SparkSession, peek: Peek, mark: int, source: str) -> Plan:
+def _scanned(spark: SparkSession, peek: Peek, mark: int, source: str, asked: Sequence[ColumnType] | None) -> Plan:
     """The strict path. A first pass over the file's splits finds where quoted fields are open at their ends, one row a
     split; then every split is scanned from the right state, and only records that cross splits are put together."""
     lines = spark.read.text(peek.uri, lineSep="\n").select(F.col("value").cast("binary").alias("value"), F.monotonically_increasing_id().alias(ORD), F.col("_metadata.file_block_start").alias("split"))
-    final = lines.agg(F.max(ORD)).first()[0] if peek.last != b"\n" else None
-    split = _Split(mark, peek.first == BOM, final)
-    opened, at = {}, -1
-    for row in sorted(lines.mapInArrow(split.summary, "split long, plain long, quoted long").collect()):
+    split = _Split(mark, peek.first == BOM, None)
+    opened, at, final = {}, -1, -1
+    for row in sorted(lines.mapInArrow(split.summary, "split long, plain long, quoted long, last long").collect()):
         opened[row.split] = at
         if at < 0:
             at = row.plain
         elif row.quoted is not None:
             at = row.quoted
+        final = max(final, row.last)
+    if peek.last != b"\n":
+        split.final = final
     found = lines.mapInArrow(split.records(opened), _ROWS)
-    if at >= 0 or any(n >= 0 for n in opened.values()):
+    if at >= 0:
+        # a quote that is never closed takes in the rest of the file: those lines are not put together, only what comes before is checked
+        found = found.where(F.col(ORD) < at)
+    early = min((n for n in opened.values() if n >= 0 and n != at), default=None)
+    if early is not None:
         crossing = found.where("line IS NOT NULL").groupBy(ORD).applyInArrow(lambda key, rows: split.joined(key, rows), _ROWS)
-        found = found.where("line IS NULL").union(crossing)
-    found = found.select(ORD, "cells", "error")
-    first = found.orderBy(ORD).head()
+        whole = found.where("line IS NULL").union(crossing)
+    else:
+        whole = found
+    found = whole.select(ORD, "cells", "error")
+    # the header is the first row of the scan, unless a record that crosses splits comes before it
+    first = found.head() if early is None else found.orderBy(ORD).head()
     if first is None:
-        raise parse_error("no_header", source)
+        raise parse_error("no_header" if at < 0 else "unterminated", source)
     width = len(first.cells or [])
     rows = found.where(F.col(ORD) > first[ORD])
     failed = F.when(F.col("error").isNotNull(), F.col(ORD))
@@ -213,13 +231,13 @@ def _scanned(spark: SparkSession, peek: Peek, mark: int, source: str) -> Plan:
         raise parse_error("ragged", source)
     if checks["error"] == "encoding":
         raise UnicodeDecodeError("utf-8", b"", 0, 1, f"invalid bytes in {source}")
-    if checks["error"]:
-        raise parse_error(checks["error"], source)
-    types = tuple(ColumnType(checks[f"t{i}"]) for i in range(width))
-    return Plan(rows.select(*_typed(lambda i: F.col("cells")[i], types), ORD), tuple(first.cells), types)
+    if checks["error"] or at >= 0:
+        raise parse_error(checks["error"] or "unterminated", source)
+    types = _types([checks[f"t{i}"] for i in range(width)], asked, tuple(first.cells))
+    return Plan(rows.select(*_typed(lambda i: F.col("cells")[i], types), ORD), tuple(first.cells), types, in_order=early is None)
 
 
-def parse(spark: SparkSession, text: str | bytes, delimiter: str = ",") -> Plan:
+def parse(spark: SparkSession, text: str | bytes, delimiter: str = ",", types: Sequence[ColumnType] | None = None) -> Plan:
     """The table in text that is in memory already."""
     mark = delimiter_byte(delimiter)
     data = text.encode() if isinstance(text, str) else bytes(text)
@@ -234,11 +252,6 @@ def parse(spark: SparkSession, text: str | bytes, delimiter: str = ",") -> Plan:
     arrays = [*(pa.array(c, pa.string()) for c in cells), pa.array(range(len(rows)), pa.int64())]
     df = spark.createDataFrame(pa.Table.from_arrays(arrays, names=[f.name for f in schema]), schema)
     found = df.agg(*[widest(F.col(f"c{i}")).alias(f"t{i}") for i in range(len(names))]).first()
-    types = tuple(ColumnType(t) for t in found)
-    return Plan(df.select(*_typed(lambda i: F.col(f"c{i}"), types), ORD), names, types)
-
-
-def forced(plan_cells: DataFrame, names: tuple[str, ...], types: tuple[ColumnType, ...]) -> Plan:
-    """Text columns c0.. (and ORD) read as the caller's types; a cell that isn't of its type fails the job."""
-    return Plan(plan_cells.select(*_typed(lambda i: F.col(f"c{i}"), types), ORD), names, types)
+    kinds = _types(list(found), types, names)
+    return Plan(df.select(*_typed(lambda i: F.col(f"c{i}"), kinds), ORD), names, kinds, in_order=True)
 

@@ -21,7 +21,7 @@ def from_spark(df: DataFrame, check: bool = False) -> Plan:
     names = [f.name for f in df.schema]
     positional = df.toDF(*[f"c{i}" for i in range(len(names))])
     columns = [F.col(f"c{i}").cast(kind.spark).alias(f"c{i}") for i, kind in enumerate(types)]
-    plan = Plan(positional.select(*columns, F.monotonically_increasing_id().alias(ORD)), tuple(names), tuple(types))
+    plan = Plan(positional.select(*columns, F.monotonically_increasing_id().alias(ORD)), tuple(names), tuple(types), in_order=True)
     if check:
         _refuse(plan)
     return plan

@@ -28,7 +28,7 @@ def blocks(plan: Plan, delimiter: str) -> Iterator[str]:
             yield ""
         return
     fields = [field(F.col(f"c{i}"), kind, delimiter, len(plan.types) == 1) for i, kind in enumerate(plan.types)]
-    ordered = plan.df.orderBy(*plan.order()).select(F.concat_ws(delimiter, *fields).alias("line"))
+    ordered = plan.ordered().select(F.concat_ws(delimiter, *fields).alias("line"))
     for row in ordered.mapInArrow(_block_batches, "block string").toLocalIterator(prefetchPartitions=True):
         yield row.block
 
@@ -51,4 +51,4 @@ def write_parts(plan: Plan, path: str, delimiter: str = ",") -> None:
     file or the driver is too small for."""
     delimiter_byte(delimiter)
     fields = [field(F.col(f"c{i}"), kind, delimiter, len(plan.types) == 1) for i, kind in enumerate(plan.types)]
-    plan.df.orderBy(*plan.order()).select(F.concat_ws(delimiter, *fields).alias("value")).write.text(path)
+    plan.ordered().select(F.concat_ws(delimiter, *fields).alias("value")).write.text(path)
