@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.reductions import aggregate
@@ -28,10 +30,16 @@ def grouped(plan: Plan, key: int, specs: Sequence[tuple[int, str]]) -> Plan:
 
 
 def ranked(plan: Plan) -> Plan:
-    """plan with one more column `rank`: the place of each row in order, from 1. Rows meet in one task, so it is for
-    grouped results and other small tables."""
-    from pyspark.sql import Window
-
+    """plan with one more column `rank`: the place of each row in order, from 1. Rows are numbered within the partitions of one sort, and each
+    partition's numbers begin where the one before ends; only the partitions' sizes meet. The sorted rows are kept until the session
+    ends or their plan is unpersisted, as both passes must see the same partitions."""
     k = len(plan.names)
-    df = plan.df.withColumn(f"c{k}", F.row_number().over(Window.orderBy(*plan.order())).cast("long"))
+    place = F.monotonically_increasing_id()
+    kept = plan.rows().withColumn("__place", place).persist(StorageLevel.DISK_ONLY)
+    part = F.shiftright("__place", 33).alias("__part")
+    sizes = kept.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    inside = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    df = kept.withColumn("__part", F.shiftright("__place", 33)).join(F.broadcast(before), "__part")
+    df = df.withColumn(f"c{k}", F.col("__before") + inside + 1).drop("__place", "__part", "__before")
     return Plan(df, (*plan.names, "rank"), (*plan.types, ColumnType.INT), plan.keys)

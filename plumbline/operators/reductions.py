@@ -47,13 +47,3 @@ def reduce(plan: Plan, i: int, func: str) -> int | float:
     if func != "sum":
         raise ValueError(f"{EMPTY_COLUMN}: {plan.names[i]}")
     return 0 if plan.types[i] is ColumnType.INT else 0.0
-
-
-def total(plan: Plan, i: int, func: str) -> Plan:
-    """The reduction as a table of one row, lazily; an empty sum is zero."""
-    value = aggregate(plan, i, func)
-    kind = ColumnType.FLOAT if func == "mean" else ColumnType.INT if func == "count" else plan.types[i]
-    if func == "sum":
-        value = F.coalesce(value, F.lit(0).cast(kind.spark))
-    df = plan.df.agg(value.alias("c0")).withColumn("__ord", F.lit(0).cast("long"))
-    return Plan(df, (plan.names[i],), (kind,))

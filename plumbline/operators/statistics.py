@@ -2,40 +2,30 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.plans import ORD, Plan
+from plumbline.plans import Plan
 from plumbline.types import ColumnType
 
 _NAMES = ("column", "type", "min", "max", "mean", "distinct")
 
 
-def _one(plan: Plan, i: int, exact: bool):
+def _one(plan: Plan, i: int) -> DataFrame:
     """Column i's row of the report. A count of distinct values groups by them, so that each column is an aggregate of its own, over a scan of just
     that column: several in one would copy every row once for each."""
     c, kind = plan.column(i), plan.types[i]
     nothing = F.lit(None).cast("double")
     numbers = (nothing,) * 3 if kind is ColumnType.STRING else (F.min(c), F.max(c), F.avg(c))
-    if not exact:
-        numbers = tuple(n.cast("double") for n in numbers)
-    return plan.df.agg(F.lit(plan.names[i]).alias("c0"), F.lit(str(kind)).alias("c1"), *(n.alias(f"c{k}") for k, n in enumerate(numbers, 2)), F.count_distinct(c).alias("c5"), F.lit(i).cast("long").alias(ORD))
+    return plan.df.agg(F.lit(plan.names[i]).alias("c0"), F.lit(str(kind)).alias("c1"), *(n.alias(f"c{k}") for k, n in enumerate(numbers, 2)), F.count_distinct(c).alias("c5"))
 
 
 def statistics(plan: Plan) -> list[dict[str, Any]]:
     """For each column its name, type, min, max, mean (None for text or no rows) and distinct values, integers exactly."""
     out = []
     for i, kind in enumerate(plan.types):
-        row = _one(plan, i, exact=True).first()
-        out.append({**dict(zip(_NAMES, row[:6], strict=True)), "type": kind})
+        row = _one(plan, i).first()
+        out.append({**dict(zip(_NAMES, row, strict=True)), "type": kind})
     return out
-
-
-def statistics_table(plan: Plan) -> Plan:
-    """The same as a table, lazily, numbers as floats; null for text and without rows (a report, so the one place where a table
-    holds nulls)."""
-    df = reduce(lambda a, b: a.unionByName(b), [_one(plan, i, exact=False) for i in range(len(plan.names))])
-    kinds = (ColumnType.STRING, ColumnType.STRING, ColumnType.FLOAT, ColumnType.FLOAT, ColumnType.FLOAT, ColumnType.INT)
-    return Plan(df, _NAMES, kinds)

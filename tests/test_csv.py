@@ -186,3 +186,49 @@ def test_quoted_fields_across_splits(spark, tmp_path, seed):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_replacement_character_is_text(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_bytes("a\ufffdb,c\n1,\ufffd\n".encode())
+    f = p.read_csv(str(path), spark=spark)
+    assert f.columns == ("a\ufffdb", "c") and f.to_dict() == {"a\ufffdb": [1], "c": ["\ufffd"]}
+    path.write_bytes(b"a\xff,c\n1,2\n")
+    with pytest.raises(UnicodeDecodeError):
+        p.read_csv(str(path), spark=spark)
+
+
+@pytest.mark.parametrize("split", ["128m", "64"])
+def test_quote_that_stays_open(spark, tmp_path, split):
+    """The rest of the file is not gathered; an earlier fault comes first."""
+    path = tmp_path / "a.csv"
+    lines = [f"{k},x{k}" for k in range(200)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        for middle, what in (('7,"open', "never closed"), ('7\n8,"open', "field count"), ('7,"a"b\n8,"open', "after a closing"), ('7,"a\nb"\n8,"open', "never closed")):
+            path.write_text("\n".join(["n,s", *lines[:90], middle, *lines[90:]]) + "\n")
+            with pytest.raises(ParseError, match=what):
+                p.read_csv(str(path), spark=spark)
+        path.write_text('"open\n1,2\n')
+        with pytest.raises(ParseError, match="never closed"):
+            p.read_csv(str(path), spark=spark)
+        path.write_text("\n".join(["n,s", *lines[:90], '90,"a\nb"', *lines[91:]]))
+        f = p.read_csv(str(path), spark=spark)
+        assert f["n"].to_list() == list(range(200)) and f["s"][90] == "a\nb" and f.head(2) == [(0, "x0"), (1, "x1")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_types_asked_for(spark, tmp_path):
+    from plumbline import ColumnType
+
+    path = tmp_path / "a.csv"
+    for text in ("a,b\n1,007\n2,8\n", 'a,b\n1,"007"\n2,8\n'):
+        path.write_text(text)
+        f = p.read_csv(str(path), types=[ColumnType.FLOAT, ColumnType.STRING], spark=spark)
+        assert f.to_dict() == {"a": [1.0, 2.0], "b": ["007", "8"]}
+        for wrong in ([ColumnType.INT], [ColumnType.INT] * 3):
+            with pytest.raises(ValueError):
+                p.read_csv(str(path), types=wrong, spark=spark)
+    with pytest.raises(ValueError):
+        p.parse_csv("a\nx\n", types=[ColumnType.FLOAT], spark=spark)

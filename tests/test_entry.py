@@ -20,7 +20,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(core.QUERIES))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("customer", "part", "orders", "lineitem", "documents"):
+    for t in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "documents"):
         con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     got = core.QUERIES[name](spark, SF).toPandas()
     want = con.sql(core.ORACLES[name]).df()

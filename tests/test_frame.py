@@ -210,3 +210,41 @@ def test_from_spark(spark):
         with pytest.raises(ValueError):
             p.from_spark(spark.sql(f"SELECT {bad} AS v"), check=True)
     assert p.from_spark(spark.range(2), check=True).shape == (2, 1)
+
+
+def shown_plan(df, capsys):
+    df.explain("formatted")
+    return capsys.readouterr().out
+
+
+def test_rows_of_a_scan_leave_unsorted(spark, capsys):
+    """Without pending keys nothing is sorted, head reads no more than it needs, and filters reach the scan."""
+    f = p.from_spark(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_quantity"))
+    some = f[f["l_quantity"] > 30]
+    first = shown_plan(some._open().first(5), capsys)
+    assert "TakeOrdered" not in first and "Limit" in first and "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,30.0)]" in first
+    whole = shown_plan(some._open().ordered(), capsys)
+    assert "Sort" not in whole and "Exchange" not in whole
+    assert "TakeOrdered" in shown_plan(some.sort_values("l_quantity")._open().first(5), capsys)
+    assert "Sort" in shown_plan(some.groupby("l_quantity").agg({})._open().ordered(), capsys)
+
+
+def test_ranks(spark):
+    from plumbline.operators.grouping import ranked
+
+    values = [(k * 7919) % 1000 for k in range(5000)]
+    f = p.from_dict({"n": values}, spark=spark)
+    spread = p.from_spark(f.to_spark().repartition(6))
+    got = sorted((r["rank"], r["n"]) for r in ranked(spread.sort_values("n", ascending=False)._open()).renamed().collect())
+    assert [r for r, _ in got] == list(range(1, 5001)) and [n for _, n in got] == sorted(values, reverse=True)
+
+
+def test_kinds_of_values():
+    from plumbline.sources.memory import Kind, joined, kind_of
+
+    kinds = {True: Kind.NONE, 1: Kind.WHOLE}
+    assert kind_of(True) is Kind.NONE and kind_of(kinds) is Kind.NONE and kind_of(2**63) is Kind.WIDE and kind_of(-(2**63)) is Kind.WHOLE and kind_of(float("nan")) is Kind.ENDLESS and kind_of("") is Kind.TEXT
+    assert str(joined([])) == "string" and str(joined([Kind.WHOLE])) == "int" and str(joined([Kind.WHOLE, Kind.REAL])) == "float" and str(joined([Kind.WIDE, Kind.REAL])) == "float"
+    for met, error in (([Kind.WIDE, Kind.WHOLE], OverflowError), ([Kind.REAL, Kind.ENDLESS], ValueError), ([Kind.TEXT, Kind.WHOLE], TypeError), ([Kind.NONE], TypeError)):
+        with pytest.raises(error):
+            joined(met)
