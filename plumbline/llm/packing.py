@@ -1,11 +1,12 @@
 """Packing of token sequences as a cutting-stock problem, solved by column generation.
 
 1. One pass over whole texts encodes them, cuts every document into full sequences and one rest, and writes
-   the pieces (not the ids): length, checksum, and each piece's number within its task and size class.
+   the pieces (not the ids): length, checksum, and their unit's number within its task and size class. A unit is a piece, or
+   short ones together.
 2. The histogram of size classes (at most capacity / CLASS rows, however large the input) goes to the driver. The linear
    program over patterns, ways to fill one sequence, is solved by the revised simplex method; a knapsack dynamic
    program prices columns. Rounded down, its patterns cover nearly all pieces; the rest is filled greedily.
-3. Pieces are ranked within their class from the per-task numbers, without sorting or gathering a class, and a
+3. Units are ranked within their class from the per-task numbers, without sorting or gathering a class, and a
    rank's pattern gives the sequence. Offsets are sums within a sequence, which holds at most `capacity` tokens.
 """
 
@@ -25,13 +26,15 @@ from plumbline.llm.text import buffers, chunks, columns, written
 #: Tokens by which size classes differ; a sequence's pieces are counted by class, so that it may stay short by
 #: fewer than CLASS tokens a piece.
 CLASS = 8
+#: Pieces of fewer tokens are put together, into units of SHORT to 2 SHORT tokens, so that rounding up to a class costs little.
+SHORT = 128
 END_ID = 1
 #: The linear program ends when it is this close to its lower bound.
 GAP = 0.002
 #: Rounds of the simplex method for each class, at most; where it stops, its patterns are still a full solution.
 ROUNDS = 12
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, task int, nth long"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, task int, nth long, inner int"
 
 
 def _cut(path: str, capacity: int):
@@ -57,17 +60,29 @@ def _cut(path: str, capacity: int):
                 begin = (np.cumsum(size) - size)[row] + start
                 view = memoryview(out.tobytes())
                 crc = [crc32(view[4 * i : 4 * (i + n)]) for i, n in zip(begin.tolist(), length.tolist(), strict=True)]
-                kind = -(-length // CLASS)
+                # a unit is a piece, or several short ones together: those that begin within one SHORT tokens of all short ones
+                is_short = length < min(SHORT, capacity // 2)
+                upto = np.cumsum(np.where(is_short, length, 0)) - np.where(is_short, length, 0)
+                alone = np.cumsum(~is_short)
+                order = np.lexsort((np.arange(len(length)), np.where(is_short, upto // min(SHORT, capacity // 2), alone), is_short))
+                same = is_short[order][1:] & is_short[order][:-1] & (np.diff(upto[order] // min(SHORT, capacity // 2)) == 0)
+                heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), dtype=bool), ~same)))
+                unit, inner = np.empty(len(length), dtype=np.int64), np.empty(len(length), dtype=np.int64)
+                counted = np.diff(np.concatenate((heads, [len(order)])))
+                unit[order] = np.repeat(np.arange(len(heads)), counted)
+                inner[order] = np.arange(len(order)) - np.repeat(heads, counted)
+                total = np.bincount(unit, weights=length, minlength=len(heads)).astype(np.int64)
+                kind = -(-total // CLASS)
                 order = np.argsort(kind, kind="stable")
                 ordered = kind[order]
-                firsts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+                firsts = np.flatnonzero(np.diff(ordered, prepend=-1))
                 nth = np.empty(len(kind), dtype=np.int64)
                 nth[order] = np.arange(len(kind)) - np.repeat(firsts, np.diff(np.concatenate((firsts, [len(kind)])))) + seen[ordered]
                 seen += np.bincount(kind, minlength=len(seen))
                 doc = batch.column("doc_id").slice(a, b - a).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [doc, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(size[row]), pa.array(kind, pa.int32()), pa.array(np.full(len(row), task), pa.int32()), pa.array(nth)],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "task", "nth"],
+                    [doc, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(size[row]), pa.array(kind[unit], pa.int32()), pa.array(np.full(len(row), task), pa.int32()), pa.array(nth[unit]), pa.array(inner, pa.int32())],
+                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "task", "nth", "inner"],
                 )
 
     return run
@@ -168,14 +183,15 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str
     spark = docs.sparkSession
     texts = columns(docs, (id_col, "doc_id"), (text_col, "text"))
     pieces = written(texts.mapInArrow(_cut(tokenizer_path, capacity), _PIECES))
-    counts = pieces.groupBy("class", "task").agg(F.count(F.lit(1)).alias("n"))
+    units = pieces.where("inner = 0")
+    counts = units.groupBy("class", "task").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("class", "task", (F.sum("n").over(Window.partitionBy("class").orderBy("task")) - F.col("n")).alias("before"))
-    histogram = [(r["class"], r["n"]) for r in pieces.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()]
+    histogram = [(r["class"], r["n"]) for r in units.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()]
     plan = spark.createDataFrame(_plan(histogram, capacity), "plan_class int, low long, high long, first long, each long")
     ranked = pieces.join(before, ["class", "task"]).withColumn("rank", F.col("nth") + F.col("before"))
     # the plan has at most a few rows for each pair of class and pattern, and patterns are as many as classes
     placed = ranked.join(F.broadcast(plan), (F.col("class") == F.col("plan_class")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     placed = placed.withColumn("sequence_id", F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("each")).cast("long"))
-    order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "class", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "rank", "inner").rowsBetween(Window.unboundedPreceding, 0)
     offset = F.sum("length").over(order) - F.col("length")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"))

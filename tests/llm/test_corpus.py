@@ -278,6 +278,13 @@ def test_packing(docs, rows, nothing):
     assert packing.pack(nothing, BPE).count() == 0
 
 
+def test_short_texts_are_packed_tightly(spark):
+    """Texts of one token and of about twenty lose no room to the rounding of sizes."""
+    texts = [(i, ("" if i % 2 else "word " * (i % 20))) for i in range(30_000)]
+    pieces = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), BPE).collect()
+    assert check_packed(pieces, texts) < 1.06
+
+
 def test_patterns_meet_demand():
     rng = np.random.default_rng(5)
     for _ in range(20):
