@@ -47,8 +47,10 @@ def to_csv(plan: Plan, path: str | os.PathLike[str] | None = None, delimiter: st
 
 
 def write_parts(plan: Plan, path: str, delimiter: str = ",") -> None:
-    """The records without the header as a folder of text files, part by part in row order: for tables that one
-    file or the driver is too small for."""
+    """The table as a folder of text files, part by part in row order, for tables that one file or the driver is too small for. The header
+    is the first part's first record; the files one after another, in the order of their names, are the CSV text."""
     delimiter_byte(delimiter)
     fields = [field(F.col(f"c{i}"), kind, delimiter, len(plan.types) == 1) for i, kind in enumerate(plan.types)]
-    plan.ordered().select(F.concat_ws(delimiter, *fields).alias("value")).write.text(path)
+    records = plan.ordered().select(F.concat_ws(delimiter, *fields).alias("value"))
+    top = plan.df.sparkSession.createDataFrame([(header(plan.names, delimiter),)], "value string").coalesce(1)
+    top.union(records).write.text(path)

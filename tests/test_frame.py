@@ -248,3 +248,33 @@ def test_kinds_of_values():
     for met, error in (([Kind.WIDE, Kind.WHOLE], OverflowError), ([Kind.REAL, Kind.ENDLESS], ValueError), ([Kind.TEXT, Kind.WHOLE], TypeError), ([Kind.NONE], TypeError)):
         with pytest.raises(error):
             joined(met)
+
+
+def test_order_of_several_files(spark, tmp_path):
+    """By path, then by place, however files are packed into tasks."""
+    where = tmp_path / "a b%é"
+    want = []
+    for name, size in (("b", 5), ("a", 3000), ("c", 1), ("d", 700)):
+        rows = [(name, k) for k in range(size)]
+        spark.createDataFrame(rows, "s string, k long").coalesce(1).write.parquet(f"file://{where}/p={name}")
+        want += rows
+    want.sort()
+    for settings in ({"spark.sql.files.maxPartitionBytes": "128m"}, {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "0"}):
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        try:
+            f = p.from_spark(spark.read.parquet(f"file://{where}").select("s", "k"))
+            assert f.head(4000) == want and f.row(-1) == ("d", 699) and f.groupby("s").count().to_dict() == {"s": ["a", "b", "c", "d"], "count": [3000, 5, 1, 700]}
+            assert f.sort_values("k").head(4) == [("a", 0), ("b", 0), ("c", 0), ("d", 0)]
+        finally:
+            for key in settings:
+                spark.conf.unset(key)
+
+
+def test_folder_of_parts(spark, tmp_path):
+    f = p.from_spark(p.from_dict({"n": range(500), 'a "b"': [f"x\n{k}, y" for k in range(500)]}, spark=spark).to_spark().repartition(5)).sort_values("n")
+    f.to_csv_parts(f"file://{tmp_path}/parts")
+    files = sorted((tmp_path / "parts").glob("part-*"))
+    assert len(files) >= 2 and b"".join(x.read_bytes() for x in files) == f.to_csv().encode()
+    (tmp_path / "one.csv").write_bytes(b"".join(x.read_bytes() for x in files))
+    assert p.read_csv(tmp_path / "one.csv", spark=spark).to_dict() == f.to_dict()
