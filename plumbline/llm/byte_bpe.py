@@ -106,20 +106,19 @@ class Encoder:
             self.pool = self.pool[np.repeat(first - (ends - size), size) + np.arange(ends[-1])]
             self.first, self.size = ends - size, size
             self.older = {w: i for i, w in enumerate(self.older)}
-        out, fresh, lengths, ids = [], len(self.first), [], []
+        fresh, lengths, ids = len(self.first), [], []
         newer, older, tokenize = self.newer, self.older, self.tokenizer.model.tokenize
-        for word in words:
-            at = newer.get(word)
+        out = list(map(newer.get, words))
+        for place in [i for i, at in enumerate(out) if at is None]:
+            word = words[place]
+            at = older.get(word)
             if at is None:
-                at = older.get(word)
-                if at is None:
-                    found = [t.id for t in tokenize(word.decode("latin-1").translate(_BYTE_CHARS))]
-                    at = fresh + len(lengths)
-                    lengths.append(len(found))
-                    ids += found
-                newer[word] = at
-                self.held += ENTRY_BYTES + 5 * len(word)
-            out.append(at)
+                found = [t.id for t in tokenize(word.decode("latin-1").translate(_BYTE_CHARS))]
+                at = fresh + len(lengths)
+                lengths.append(len(found))
+                ids += found
+            newer[word] = out[place] = at
+            self.held += ENTRY_BYTES + 5 * len(word)
         size = np.array(lengths, dtype=np.int64)
         self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
