@@ -168,15 +168,16 @@ def _feature_batches(lexicon: Lexicon):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int = 5) -> Model:
     """docs: (doc_id, text); labels: (doc_id, toxic). Learns from labelled rows whose crc32 of the id as text is
     not divisible by `fold`; of several labels of an id the majority counts, a tie as toxic; null labels and ids
-    are left out. At most `sample` ids, and as many rows, are fitted on."""
+    are left out. At most `sample` ids are fitted on, one text of each."""
     number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     ids = ids.where(number % fold != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10))
     # `sample` rows of two numbers: a bounded side
-    texts = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic", part.cast("int").alias("part"))
-    # an id may be repeated: rows are as bounded as ids
-    texts = written(texts.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(sample))
+    texts = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    # an id may be repeated: of its texts the one with the lowest hash serves, so that rows are as bounded as ids
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    texts = written(texts.select("*", part.cast("int").alias("part")))
     share = texts.agg((F.sum("toxic") + 0.5) / (F.count(F.lit(1)) + 1)).first()[0]
     share = 0.0 if share is None else float(share)
     total = texts.where("part < 5").agg(F.sum("toxic"), F.count(F.lit(1))).first()
