@@ -23,7 +23,7 @@ from plumbline.llm.fm_index import FMIndex
 from plumbline.llm.text import ALNUM, Words, buffers, chunks, columns, written
 
 #: Bytes of text in a shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Characters of benchmark text whose windows are searched at a time; a larger benchmark is taken in blocks.
 BLOCK_CHARS = 8_000_000
 
