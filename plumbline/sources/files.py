@@ -18,6 +18,26 @@ def located(path: str | os.PathLike[str]) -> str:
     return text if _SCHEME.match(text) else "file://" + os.path.abspath(text)
 
 
+def escaped(uri: str) -> str:
+    """A URI that Spark reads as it stands, where it would take some characters for a pattern."""
+    return re.sub(r"([*?{}\[\]\\])", r"\\\1", uri)
+
+
+def seen_by_tasks(spark: SparkSession, path: str) -> bool:
+    """Whether tasks can write to a local path of the driver: in a local session, or in the folder that spark.checkpoint.dir (else the
+    context) names, which all machines share. The path is no device, pipe or folder."""
+    if os.path.exists(path) and not os.path.isfile(path):
+        return False
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return True
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        shared = found.get() if found.isDefined() else None
+    shared = re.sub("^file:/+", "/", shared or "")
+    return shared.startswith("/") and os.path.realpath(path).startswith(os.path.join(os.path.realpath(shared), ""))
+
+
 def _missing(code: int, path: str) -> OSError:
     return OSError(code, os.strerror(code), path)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +51,9 @@ def _placed(df: DataFrame) -> DataFrame | None:
         rows.schema  # noqa: B018
     except AnalysisException:
         return None
-    # a row for each file; the planner broadcasts it if it is small
-    ranks = df.sparkSession.createDataFrame([(f, i << _ROW_BITS) for i, f in enumerate(files)], "`\0file` string, `\0rank` long")
+    # a row for each file; of Arrow's rows the planner knows the size, and broadcasts them if they are small, so that df is not shuffled
+    table = pa.table({"\0file": pa.array(files, pa.string()), "\0rank": pa.array([i << _ROW_BITS for i in range(len(files))], pa.int64())})
+    ranks = df.sparkSession.createDataFrame(table, "`\0file` string, `\0rank` long")
     found = rows.join(ranks, F.col("`\0path`") == F.col("`\0file`"), "left")
     place = F.coalesce(F.col("`\0rank`"), F.raise_error(F.lit("a file that was not there when the table was opened")).cast("long")) + F.col("`\0row`")
     return found.select(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns], place.alias(ORD))

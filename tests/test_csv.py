@@ -232,3 +232,60 @@ def test_types_asked_for(spark, tmp_path):
                 p.read_csv(str(path), types=wrong, spark=spark)
     with pytest.raises(ValueError):
         p.parse_csv("a\nx\n", types=[ColumnType.FLOAT], spark=spark)
+
+
+def sent_to_driver(spark, action):
+    """The bytes of all task results of an action."""
+    context = spark.sparkContext
+    inner, group = context._jsc.sc(), f"sent-{random.random()}"
+    context.setJobGroup(group, "counted")
+    try:
+        action()
+    finally:
+        context._jsc.clearJobGroup()
+    inner.listenerBus().waitUntilEmpty()
+    stages = {s for job in context.statusTracker().getJobIdsForGroup(group) for s in context.statusTracker().getJobInfo(job).stageIds}
+    store, kinds = inner.statusStore(), context._jvm.java.util.ArrayList
+    tasks = [store.stageData(s, False, kinds(), False, context._gateway.new_array(context._jvm.double, 0)) for s in stages]
+    return sum(attempts.apply(k).resultSize() for attempts in tasks for k in range(attempts.length()))
+
+
+@pytest.mark.parametrize("times", [1, 4])
+def test_a_written_file_does_not_pass_through_the_driver(spark, tmp_path, times):
+    """One file of several partitions, two blocks and more each: the driver gets sizes, whose number doesn't follow the rows'."""
+    rows = spark.range(0, 2000 * times, 1, 4).selectExpr("id AS n", """concat('a\t"', id, '"\n', repeat(sha2(string(id), 256), 10), 'é') AS s""")
+    f = p.from_spark(rows.repartition(4)).sort_values("n")
+    path = tmp_path / "a [1]{b}*" / "o.tsv"
+    path.parent.mkdir()
+    path.write_text("longer than nothing" * 200_000)
+    assert sent_to_driver(spark, lambda: f.to_csv(path, delimiter="\t")) < 200_000 < 1_200_000 * times < path.stat().st_size
+    assert path.read_text(newline="") == f.to_csv(delimiter="\t") and [x.name for x in path.parent.iterdir()] == ["o.tsv"]
+
+
+def test_a_file_is_written_from_itself(spark, tmp_path):
+    path = write(tmp_path, "n,s\n1,a\n2,\"b\nc\"\n3,d\n")
+    p.read_csv(path).sort_values("n", ascending=False).to_csv(path)
+    assert p.read_csv(path).to_dict() == {"n": [3, 2, 1], "s": ["d", "b\nc", "a"]}
+    for wrong, error in ((tmp_path, IsADirectoryError), (tmp_path / "none" / "x", FileNotFoundError)):
+        with pytest.raises(error):
+            p.from_dict({"n": [1]}).to_csv(wrong)
+
+
+def test_which_files_tasks_see(tmp_path):
+    """On a cluster, files in the shared folder only; devices never."""
+    from types import SimpleNamespace as N
+
+    from plumbline.sources.files import seen_by_tasks
+
+    def session(master, folder):
+        return N(sparkContext=N(master=master), conf={"spark.checkpoint.dir": folder})
+
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    (tmp_path / "link").symlink_to(shared)
+    for folder in (f"file://{shared}", f"file:{shared}", str(shared), f"{tmp_path}/link/"):
+        cluster = session("local-cluster[3,2,1000]", folder)
+        assert seen_by_tasks(cluster, f"{shared}/x") and seen_by_tasks(cluster, f"{tmp_path}/link/x")
+        assert not any(seen_by_tasks(cluster, str(x)) for x in (tmp_path / "x", tmp_path / "shared2", shared, "/dev/null"))
+    assert not seen_by_tasks(session("spark://a:7077", f"hdfs://a{shared}"), f"{shared}/x")
+    assert seen_by_tasks(session("local[4]", f"hdfs://a{shared}"), f"{tmp_path}/x") and not seen_by_tasks(session("local[4]", str(shared)), "/dev/null")
